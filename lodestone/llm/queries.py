@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, sharding, urls
+from . import bpe, decontaminate, exact_dedup, sharding, substring_dedup, urls
 
 #: (verdict, host, path) of the URL query (fixed values).
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -26,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.duplicate_spans(table(spark, sf_dir, "documents"), size=50)).withColumnRenamed("id", "doc_id")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages judged; listed are the canonical URLs of all pages on hosts with a label of LISTED_LABELS."""
     pages = table(spark, sf_dir, "pages")
@@ -54,6 +58,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
     "op7_decontamination": op7_decontamination,
