@@ -38,6 +38,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete what materialize() wrote for df, once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/lodestone-" in file:
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a string column, counted over all rows."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
