@@ -1,0 +1,35 @@
+"""Connected components of a table of edges by alternating large and small stars.
+
+Every step is a sum by key or a join by key; nothing is collected but the count and a checksum of the edges, which tell
+when they no longer change. Edges of a node with very many neighbours are only joined with one row of their own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: columns a, b of one type. Gives node and root, the smallest node of its component, for all nodes but the roots."""
+    now = common.materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = _mark(now)
+    while True:
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(now.select("a", "b").join(least, "a").select("a", F.col("m").alias("b")))
+        large = common.materialize(large.where("a != b").distinct())
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest, "a").where("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
+        nxt = common.materialize(small.distinct())
+        common.release(large)
+        common.release(now)
+        now, before, mark = nxt, mark, _mark(nxt)
+        if mark == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

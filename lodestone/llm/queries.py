@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_extract, pitman_yor, sharding, substring_dedup, toxicity, urls
+from . import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, pitman_yor, sharding, substring_dedup, toxicity, urls
 
 #: (verdict, host, path) of the URL query (fixed values).
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -34,6 +34,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.duplicate_spans(table(spark, sf_dir, "documents"), size=50)).withColumnRenamed("id", "doc_id")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=5, percent=80).withColumnRenamed("id", "doc_id")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages judged; listed are the canonical URLs of all pages on hosts with a label of LISTED_LABELS."""
     pages = table(spark, sf_dir, "pages")
@@ -80,6 +84,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
     "op6_toxicity": op6_toxicity,
