@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import evidence_queries
+
+FLAGSHIP = "pooled_proportion_by_group"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+for part in (evidence_queries,):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL
