@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ U64 = np.uint64
 POLY = 0x9E3779B97F4A7C15
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 MASK = (1 << 64) - 1
-#: Words remembered by a worker before the memory is emptied.
+#: Words that a worker remembers something of before its memory is emptied.
 WORD_MEMORY = 300_000
 
 
@@ -57,20 +57,6 @@ def block_count(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
-class WordHashes(dict):
-    """Remembers a 64-bit hash of each word (bytes); empties itself beyond WORD_MEMORY words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_MEMORY:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-def hash_words(words: list[bytes], memory: WordHashes) -> np.ndarray:
-    return np.fromiter(map(memory.__getitem__, words), U64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads every bit of a 64-bit value."""
     x = (x ^ (x >> U64(30))) * U64(MIX_A)
@@ -107,6 +93,46 @@ class Rolling:
         return mix((prefix[size:] - prefix[:n]) * self.down[:n] + U64(size * MIX_A & MASK))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = Rolling()
+#: Texts beyond this many bytes are hashed word by word, so that no array of powers grows with them.
+WHOLE = 4 << 20
+
+
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a text (split at ASCII white space), and the number that its last two bytes make."""
+    if len(raw) > WHOLE:
+        parts, at = [], 0
+        while at < len(raw):
+            end = at + WHOLE // 2
+            while end < len(raw) and not _SPACE[raw[end]]:
+                end += 1
+            piece = raw[at:end]
+            parts.append(hashed_words(piece) if len(piece) <= WHOLE else ([_long_word(w) for w in piece.split()], [int.from_bytes(w[-2:], "little") for w in piece.split()]))
+            at = end
+        return np.concatenate([np.array(h, U64) for h, _ in parts]), np.concatenate([np.array(t, np.int32) for _, t in parts])
+    letters = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[letters], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    h = _BYTES.runs(_BYTES.prefix(letters.astype(U64) + U64(1)), starts, ends)
+    last = letters[ends - 1].astype(np.int32)
+    tail = np.where(ends - starts > 1, letters[np.maximum(ends - 2, 0)] + 256 * last, last) if len(ends) else last
+    return h, tail
+
+
+def _long_word(word: bytes) -> int:
+    """The same hash for a word of any length."""
+    total, power = 0, 1
+    if len(word) > WHOLE:
+        return xxhash.xxh3_64_intdigest(word)
+    for c in word:
+        total = (total + (c + 1) * power) & MASK
+        power = power * POLY & MASK
+    return int(mix(np.array([(total + len(word) * MIX_A) & MASK], U64))[0])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -9,6 +9,10 @@ the radius must share one of the first n - ceil(t * n) + 1 shingles of any commo
 with such a shingle are in the region of one pivot, the smallest of them by hash, and no link can be missed. The order
 puts frequent shingles last, so that a passage that many texts share opens no region.
 
+Sizes are distances too (to the empty set, by the symmetric difference): linked sets have sizes within the factor t.
+A region is therefore cut into classes of size, a factor 1 / t wide each, and a set is given to its own class and the
+next one only; a class with sets of one class of origin that another class has as well is left out, as is a single set.
+
 Inside a region. Pivots split it again: the most central set and the one farthest from it. Each set goes to the nearer
 pivot's cell, and also to the other's if d2 <= d1 + 2 * radius, as by the triangle inequality only then can a neighbour be
 there; cells are split in the same way until they are small or no longer shrink. There, sets of different components
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-REGION_ROWS, REGION_BYTES = 1_500, 6 << 20
+REGION_ROWS, REGION_BYTES = 3_000, 24 << 20
 LEAF = 64
 #: At most this many frequent shingles are put last; which are frequent is relative to the input.
 FREQUENT = 500_000
@@ -48,15 +52,15 @@ class Shingler:
     """Sets of texts as sorted arrays of hashes."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.rolling, self.memory = size, common.Rolling(), common.WordHashes()
+        self.size, self.rolling = size, common.Rolling()
 
     def set_of(self, text: str | None) -> np.ndarray:
-        words = text.encode().translate(_LOWER).split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        prefix = self.rolling.prefix(common.hash_words(words, self.memory))
+        words, _ = common.hashed_words(text.encode().translate(_LOWER) if text else b"")
+        if not len(words):
+            return words
         n = min(self.size, len(words))
-        return np.unique(self.rolling.runs(prefix, np.arange(len(words) - n + 1), np.arange(n, len(words) + 1)))
+        found = np.sort(self.rolling.windows(self.rolling.prefix(words), n))
+        return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -71,7 +75,7 @@ def least_shared(n, percent: int):
     return (percent * n + 99) // 100
 
 
-_NODES = pa.schema([("id", pa.int64()), ("len", pa.int32()), ("crc", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_NODES = pa.schema([("frequent", pa.bool_()), ("id", pa.int64()), ("len", pa.int32()), ("crc", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,37 +84,31 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _nodes(size: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
-
-        def row(id_, text, length, crc):
-            s = shingler.set_of(text)
-            return id_, length, crc, node_of(s), len(s)
-
-        return common.row_batches((row(*r) for r in common.rows_of(batches, "id", "text", "len", "crc")), _NODES)
-
-    return run
-
-
-def _frequent(size: int):
-    """Shingles that many of the documents read together have, with how many have them."""
+    """A row for each document (node, n); and, flagged, for each shingle that many of the documents read together have (node is the shingle, n how many)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sets, held = Shingler(size), [], 0
+        shingler, sets, held, rows = Shingler(size), [], 0, []
 
-        def flush() -> pa.RecordBatch:
+        def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
             often = counts >= max(2, len(sets) // (2 * FREQUENT_SHARE))
-            return pa.RecordBatch.from_arrays([pa.array(common.signed(values[often])), pa.array(counts[often])], names=["s", "c"])
+            n = int(often.sum())
+            nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), *nothing, pa.array(common.signed(values[often])), pa.array(counts[often].astype(np.int64))], schema=_NODES)
 
-        for (text,) in common.rows_of(batches, "text"):
+        for id_, text, length, crc in common.rows_of(batches, "id", "text", "len", "crc"):
             sets.append(shingler.set_of(text))
             held += len(sets[-1])
+            rows.append((False, id_, length, crc, node_of(sets[-1]), len(sets[-1])))
             if held >= TOGETHER:
-                yield flush()
+                yield frequent()
                 sets, held = [], 0
+            if len(rows) >= 5_000:
+                yield from common.row_batches(rows, _NODES, 5_000)
+                rows = []
+        yield from common.row_batches(rows, _NODES, 5_000)
         if sets:
-            yield flush()
+            yield frequent()
 
     return run
 
@@ -211,38 +209,51 @@ def _join_block(size: int, percent: int):
     return run
 
 
+def _classes(members: DataFrame, percent: int) -> DataFrame:
+    """Members of regions by class of size, as the module's text says: adds `k`, the class."""
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    rows = members.withColumn("own", own).withColumn("k", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    counts = rows.groupBy("pivot", "k").agg(F.count_if(F.col("own") == F.col("k")).alias("here"), F.count_if(F.col("own") < F.col("k")).alias("below"))
+    following = counts.select("pivot", (F.col("k") - 1).alias("k"), F.col("here").alias("above"))
+    counts = counts.join(following, ["pivot", "k"], "left").where("here > 0 and here + below > 1 and (below > 0 or coalesce(above, 0) = 0)")
+    return rows.join(counts.select("pivot", "k"), ["pivot", "k"]).drop("own")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """Each member in the pairs of blocks of its region that it takes part in; a region of bounded size is one block."""
-    totals = members.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / REGION_ROWS, F.sum("len") / REGION_BYTES)).cast("int").alias("blocks"))
+    totals = members.groupBy("pivot", "k").agg(F.ceil(F.greatest(F.count("*") / REGION_ROWS, F.sum("len") / REGION_BYTES)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     pair: Column = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
-    return members.join(totals, "pivot").withColumn("mine", mine).select("node", "pivot", "id", "len", "crc", F.explode(pair).alias("block"))
+    cut = members.join(totals, ["pivot", "k"]).withColumn("mine", mine).withColumn("block", F.explode(pair))
+    return cut.select("node", "id", "len", "crc", F.struct("pivot", "k", "block").alias("task"))
 
 
-def links(docs: DataFrame, size: int, percent: int, base: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes whose components are those of all links."""
-    sc = docs.sparkSession.sparkContext
-    texts = base.select("text")
+def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes whose components are those of all links. found: what _nodes() gave."""
+    sc = base.sparkSession.sparkContext
+    texts, nodes = base.select("text"), found.where("not frequent and n > 0")
     rows, shingles = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = max(rows / FREQUENT_SHARE, shingles / FREQUENT, 2)
-    frequent = texts.mapInArrow(_frequent(size), "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("s").toPandas()["s"].to_numpy(np.int64)
+    frequent = found.where("frequent").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("node").toPandas()["node"].to_numpy(np.int64)
     last = sc.broadcast(np.sort(frequent.view(np.uint64)))
     prefixes = texts.mapInArrow(_prefixes(size, percent, last), "s long, node long")
     shared = prefixes.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("s", "pivot")
     regions = common.materialize(prefixes.join(shared, "s").select("node", "pivot").distinct())
-    first = nodes.groupBy("node").agg(F.min(F.struct("id", "len", "crc")).alias("x")).select("node", "x.*")
-    blocks = common.materialize(_blocks(regions.join(first, "node")))
-    same = [base[c].eqNullSafe(blocks[c]) for c in ("id", "len", "crc")]
-    tasks = base.join(blocks, same).select("node", "pivot", "block", "text")
-    return tasks.groupBy("pivot", "block").applyInArrow(_join_block(size, percent), "a long, b long")
+    first = nodes.groupBy("node").agg(F.min(F.struct("id", "len", "crc")).alias("x"), F.first("n").alias("n")).select("node", "n", "x.*")
+    classes = common.materialize(_classes(regions.join(first, "node"), percent))
+    tasks = common.materialize(_blocks(classes).groupBy("node", "id", "len", "crc").agg(F.collect_list("task").alias("tasks")))
+    same = [base[c].eqNullSafe(tasks[c]) for c in ("id", "len", "crc")]
+    sent = base.join(tasks, same).select("node", F.explode("tasks").alias("task"), "text")
+    return sent.groupBy("task").applyInArrow(_join_block(size, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id that links reach)."""
     base = _base(docs, id_col, text_col)
-    nodes = common.materialize(base.mapInArrow(_nodes(size), "id long, len int, crc long, node long, n long"))
+    found = common.materialize(base.mapInArrow(_nodes(size), "frequent boolean, id long, len int, crc long, node long, n long"))
+    nodes = found.where("not frequent").drop("frequent")
     filled = nodes.where("n > 0")
-    roots = components(links(docs, size, percent, base, filled))
+    roots = components(links(base, size, percent, found))
     first = filled.groupBy("node").agg(F.min("id").alias("first"))
     rooted = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

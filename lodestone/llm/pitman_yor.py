@@ -40,37 +40,20 @@ TOGETHER = 3_000_000
 #: Burn-in sweeps, sweeps averaged, concentration.
 BURN_IN, SAMPLES, STRENGTH = 2, 2, 1.0
 START = 1 << 16
-END = b" "
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
+END_HASH = np.int64(-1)
+
+
 class Tokens:
     """Hashes and contexts of the tokens of a text."""
 
-    def __init__(self) -> None:
-        self.known = _TokenMemory()
-
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def read(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each token and the class of the token before it."""
-        words = text.encode().translate(_LOWER).split() if text else []
-        words.append(END)
-        packed = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        word, own = packed, np.fromiter((int.from_bytes(w[-2:], "little") for w in words[:-1]), np.int32, len(words) - 1)
-        return word, np.concatenate([np.array([START], np.int32), own])
-
-
-class _TokenMemory(dict):
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes = common.WordHashes()
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > common.WORD_MEMORY:
-            self.clear()
-        h = self.hashes.__missing__(word)
-        self.hashes.clear()
-        self[word] = h = h - (1 << 64) if h >> 63 else h
-        return h
+        h, tail = common.hashed_words(text.encode().translate(_LOWER) if text else b"")
+        return np.append(common.signed(h), END_HASH), np.concatenate([np.array([START], np.int32), tail.astype(np.int32)])
 
 
 _PAIRS = pa.schema([("w", pa.int64()), ("u", pa.int32()), ("n", pa.int64())])

@@ -51,33 +51,38 @@ class Parser:
     def __init__(self, size: int) -> None:
         if size <= ANCHOR:
             raise ValueError(f"size must be over {ANCHOR}")
-        self.size, self.rolling, self.memory = size, common.Rolling(), common.WordHashes()
+        self.size, self.rolling = size, common.Rolling()
 
-    def anchors(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The anchor of each window and the prefix sums of the word hashes."""
-        prefix = self.rolling.prefix(common.hash_words(words, self.memory))
+        words, _ = common.hashed_words(raw)
+        if len(words) < self.size:
+            return np.zeros(0, np.uint64), self.rolling.prefix(words)
+        prefix = self.rolling.prefix(words)
         return sliding_min(self.rolling.windows(prefix, ANCHOR), self.size - ANCHOR + 1), prefix
 
-    def blocks(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def blocks(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The anchor and the content's hash of each block."""
-        anchor, prefix = self.anchors(words)
+        anchor, prefix = self.anchors(raw)
+        if not len(anchor):
+            return anchor, anchor
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         end = np.append(first[1:], len(anchor)) - 1 + self.size
         return anchor[first], self.rolling.runs(prefix, first, end)
 
-    def windows(self, words: list[bytes], open_anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, raw: bytes, open_anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The anchor and the hash of each window whose anchor is among open_anchors."""
-        anchor, prefix = self.anchors(words)
+        anchor, prefix = self.anchors(raw)
         at = np.flatnonzero(np.isin(anchor, open_anchors))
         return anchor[at], self.rolling.runs(prefix, at, at + self.size)
 
-    def covered(self, words: list[bytes], whole: np.ndarray, single: np.ndarray) -> np.ndarray:
+    def covered(self, raw: bytes, whole: np.ndarray, single: np.ndarray) -> np.ndarray:
         """Whether each word lies in a window with an anchor of `whole` or a hash of `single`."""
-        anchor, prefix = self.anchors(words)
+        anchor, prefix = self.anchors(raw)
         copied = np.isin(anchor, whole)
         if len(single):
             copied |= np.isin(self.rolling.windows(prefix, self.size), single)
-        depth = np.zeros(len(words) + 1, np.int64)
+        depth = np.zeros(len(prefix), np.int64)
         depth[: len(copied)] += copied
         depth[self.size : self.size + len(copied)] -= copied
         return np.cumsum(depth[:-1]) > 0
@@ -92,15 +97,14 @@ def _keys(x) -> np.ndarray:
 
 
 def _emit(size: int, names: tuple[str, ...], fn):
-    """A mapInArrow function: fn(parser, words, *columns) gives two hash arrays; rows are (id, first, second)."""
+    """A mapInArrow function: fn(parser, raw text, *columns) gives two hash arrays; rows are (id, first, second)."""
     schema = pa.schema([("id", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser, out = Parser(size), common.Sink(schema, 200_000)
         for id_, text, *rest in common.rows_of(batches, "id", "text", *names):
-            words = _words(text)
-            if len(words) >= size:
-                a, b = fn(parser, words, *rest)
+            if text and len(text) >= 2 * size - 1:
+                a, b = fn(parser, text.encode(), *rest)
                 if len(a):
                     out.add(len(a), np.full(len(a), id_, np.int64), common.signed(a), common.signed(b))
                     yield from out.full()
@@ -145,7 +149,7 @@ def duplicate_spans(docs: DataFrame, size: int = 50, id_col: str = "doc_id", tex
             id_, words = None if id_ == NO_ID else id_, _words(text)
             if len(words) < size or not (whole or single):
                 return id_, len(words), 0, [], b" ".join(words).decode()
-            covered = parser.covered(words, _keys(whole), _keys(single))
+            covered = parser.covered(text.encode(), _keys(whole), _keys(single))
             kept = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
             return id_, len(words), len(words) - len(kept), [{"a": a, "b": b} for a, b in spans_of(covered)], b" ".join(kept).decode()
 
