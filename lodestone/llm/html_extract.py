@@ -40,6 +40,8 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 _NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Weight of evidence that siblings share (amounts of text, links of leaves), so that many of them don't count as many witnesses.
 TEMPER = 0.15
+#: With more siblings than this, they share that evidence's weight.
+SIBLINGS = 8
 _PIECES = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
 
@@ -204,11 +206,17 @@ class Model:
         n, parents, tags = len(dom.tags), dom.parents, dom.tags
         seen = evidence(dom)
         odds, pairs = [0.0] * n, [self.any_pair] * n
+        kids = [0] * (n + 1)
+        for p in parents:
+            kids[p] += 1
         for i, (kind, what) in enumerate(seen):
             if tags[i] in HIDDEN:
                 odds[i] = -30.0
                 continue
-            odds[i] = sum(self.emit.get(_event(kind, s), 0.0) for s in what)
+            crowd = SIBLINGS / max(SIBLINGS, kids[parents[i]])
+            for s in what:
+                event = _event(kind, s)
+                odds[i] += self.emit.get(event, 0.0) * (crowd if crowd < 1 and self._weight(event) < 1 else 1.0)
             pairs[i] = self.pair.get(kind, self.any_pair)
         # Upward: up[i] is the log ratio that element i sends to its parent.
         up = [0.0] * n

@@ -13,11 +13,16 @@ Sizes are distances too (to the empty set, by the symmetric difference): linked
 A region is therefore cut into classes of size, a factor 1 / t wide each, and a set is given to its own class and the
 next one only; a class with sets of one class of origin that another class has as well is left out, as is a single set.
 
-Inside a region. Pivots split it again: the most central set and the one farthest from it. Each set goes to the nearer
+Regions first compare sketches: how many shingles a set has in each of some buckets of the hash. The buckets are pivots
+too; the difference of the counts, summed, is at most the symmetric difference of the sets, so pairs beyond the radius
+are ruled out without their texts, and no pair within it ever is. What may still be linked makes groups, by connected
+components over all regions; each text then goes to the one task of its group.
+
+Inside a group. Pivots split it again: the most central set and the one farthest from it. Each set goes to the nearer
 pivot's cell, and also to the other's if d2 <= d1 + 2 * radius, as by the triangle inequality only then can a neighbour be
 there; cells are split in the same way until they are small or no longer shrink. There, sets of different components
-whose distances to the pivots differ by no more than the radius are compared exactly. A region of more than
-REGION_ROWS sets or REGION_BYTES of text is cut into blocks, and every pair of blocks is one task of bounded size.
+whose distances to the pivots differ by no more than the radius are compared exactly. A region or group of more than
+REGION_ROWS sets or REGION_BYTES is cut into blocks, and every pair of blocks is one task of bounded size.
 
 Links become connected components by key-wise joins. Equal sets are one node throughout, so copies cost nothing.
 
@@ -75,7 +80,22 @@ def least_shared(n, percent: int):
     return (percent * n + 99) // 100
 
 
-_NODES = pa.schema([("frequent", pa.bool_()), ("id", pa.int64()), ("len", pa.int32()), ("crc", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_NODES = pa.schema([("frequent", pa.bool_()), ("id", pa.int64()), ("len", pa.int32()), ("crc", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+_FOUND = "frequent boolean, id long, len int, crc long, node long, n long, sketch binary"
+
+
+def size_class(n: int, percent: int) -> int:
+    return int(np.floor(np.log(max(n, 1)) / np.log(100 / percent) + 1e-9))
+
+
+def buckets(k: int, percent: int) -> int:
+    """Buckets of a sketch in a class of size: a power of two near a seventh of the sets' size."""
+    return 1 << int(np.clip(np.ceil(k * np.log2(100 / percent) + np.log2(0.15)), 4, 14))
+
+
+def sketch_of(shingles: np.ndarray, percent: int) -> bytes:
+    m = buckets(size_class(len(shingles), percent) + 1, percent)
+    return np.minimum(np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8).tobytes()
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -83,7 +103,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).alias("len"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("crc"))
 
 
-def _nodes(size: int):
+def _nodes(size: int, percent: int):
     """A row for each document (node, n); and, flagged, for each shingle that many of the documents read together have (node is the shingle, n how many)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,12 +114,12 @@ def _nodes(size: int):
             often = counts >= max(2, len(sets) // (2 * FREQUENT_SHARE))
             n = int(often.sum())
             nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), *nothing, pa.array(common.signed(values[often])), pa.array(counts[often].astype(np.int64))], schema=_NODES)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), *nothing, pa.array(common.signed(values[often])), pa.array(counts[often].astype(np.int64)), pa.nulls(n, pa.binary())], schema=_NODES)
 
         for id_, text, length, crc in common.rows_of(batches, "id", "text", "len", "crc"):
             sets.append(shingler.set_of(text))
             held += len(sets[-1])
-            rows.append((False, id_, length, crc, node_of(sets[-1]), len(sets[-1])))
+            rows.append((False, id_, length, crc, node_of(sets[-1]), len(sets[-1]), sketch_of(sets[-1], percent)))
             if held >= TOGETHER:
                 yield frequent()
                 sets, held = [], 0
@@ -188,9 +208,43 @@ class Region:
                 self.link(i, rest[open_])
 
 
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _edges(nodes: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """An edge from each node to the one that its label numbers."""
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], schema=_EDGES)
+
+
+def may_link(sketches: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Labels of the groups that pairs make whose sketches don't rule out a link."""
+    label, wide = np.arange(len(n)), sketches.astype(np.int16)
+    for i in range(len(n) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(rest):
+            continue
+        apart = np.abs(wide[rest] - wide[i]).sum(axis=1, dtype=np.int64)
+        near = rest[apart * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]
+        if len(near):
+            old = np.unique(np.append(label[near], label[i]))
+            label[np.isin(label, old)] = old[0]
+    return label
+
+
+def _compare_sketches(percent: int):
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = buckets(key[0].as_py()["k"], percent)
+        rows = {node: (n, np.frombuffer(s, np.uint8)) for node, n, s in common.rows_of(batches, "node", "n", "sketch")}
+        if len(rows) > 1:
+            sketches = np.array([s.reshape(-1, m).sum(axis=0) for _, s in rows.values()])
+            yield _edges(np.array(list(rows), np.int64), may_link(sketches, np.array([n for n, _ in rows.values()], np.int64), percent))
+
+    return run
+
+
 def _join_block(size: int, percent: int):
     """Edges from each set of a block to the first of its component there."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sets = Shingler(size), {}
@@ -200,11 +254,9 @@ def _join_block(size: int, percent: int):
                 if node_of(s) == node:
                     sets[node] = s
         if len(sets) > 1:
-            nodes = np.array(list(sets), np.int64)
             region = Region(list(sets.values()), percent)
-            region.join(np.arange(len(nodes)))
-            moved = np.flatnonzero(region.label != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[region.label[moved]])], schema=schema)
+            region.join(np.arange(len(sets)))
+            yield _edges(np.array(list(sets), np.int64), region.label)
 
     return run
 
@@ -219,13 +271,13 @@ def _classes(members: DataFrame, percent: int) -> DataFrame:
     return rows.join(counts.select("pivot", "k"), ["pivot", "k"]).drop("own")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Each member in the pairs of blocks of its region that it takes part in; a region of bounded size is one block."""
-    totals = members.groupBy("pivot", "k").agg(F.ceil(F.greatest(F.count("*") / REGION_ROWS, F.sum("len") / REGION_BYTES)).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    pair: Column = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
-    cut = members.join(totals, ["pivot", "k"]).withColumn("mine", mine).withColumn("block", F.explode(pair))
-    return cut.select("node", "id", "len", "crc", F.struct("pivot", "k", "block").alias("task"))
+def _blocks(members: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+    """Adds `task`: the keys with each pair of blocks that a member takes part in; a group of bounded size is one block."""
+    totals = members.groupBy(*keys).agg(F.ceil(F.greatest(F.count("*") / REGION_ROWS, F.sum(weight) / REGION_BYTES)).cast("int").alias("_blocks"))
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("_blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(j, F.col("_mine")).alias("i"), F.greatest(j, F.col("_mine")).alias("j")))
+    cut = members.join(totals, keys).withColumn("_mine", mine).withColumn("_block", F.explode(pair))
+    return cut.withColumn("task", F.struct(*keys, "_block")).drop("_blocks", "_mine", "_block")
 
 
 def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFrame:
@@ -239,9 +291,12 @@ def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFra
     prefixes = texts.mapInArrow(_prefixes(size, percent, last), "s long, node long")
     shared = prefixes.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("s", "pivot")
     regions = common.materialize(prefixes.join(shared, "s").select("node", "pivot").distinct())
-    first = nodes.groupBy("node").agg(F.min(F.struct("id", "len", "crc")).alias("x"), F.first("n").alias("n")).select("node", "n", "x.*")
-    classes = common.materialize(_classes(regions.join(first, "node"), percent))
-    tasks = common.materialize(_blocks(classes).groupBy("node", "id", "len", "crc").agg(F.collect_list("task").alias("tasks")))
+    first = common.materialize(nodes.groupBy("node").agg(F.min(F.struct("id", "len", "crc")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "n", "sketch", "x.*"))
+    classes = common.materialize(_classes(regions.join(first.select("node", "n"), "node"), percent))
+    compared = _blocks(classes.join(first.select("node", "sketch"), "node"), ["pivot", "k"], F.octet_length("sketch"))
+    groups = common.materialize(components(compared.groupBy("task").applyInArrow(_compare_sketches(percent), "a long, b long")))
+    members = groups.union(groups.select("root", "root").distinct()).join(first.drop("sketch"), "node")
+    tasks = common.materialize(_blocks(members, ["root"], F.col("len")).groupBy("node", "id", "len", "crc").agg(F.collect_list("task").alias("tasks")))
     same = [base[c].eqNullSafe(tasks[c]) for c in ("id", "len", "crc")]
     sent = base.join(tasks, same).select("node", F.explode("tasks").alias("task"), "text")
     return sent.groupBy("task").applyInArrow(_join_block(size, percent), "a long, b long")
@@ -250,8 +305,8 @@ def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFra
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id that links reach)."""
     base = _base(docs, id_col, text_col)
-    found = common.materialize(base.mapInArrow(_nodes(size), "frequent boolean, id long, len int, crc long, node long, n long"))
-    nodes = found.where("not frequent").drop("frequent")
+    found = common.materialize(base.mapInArrow(_nodes(size, percent), _FOUND))
+    nodes = found.where("not frequent").drop("frequent", "sketch")
     filled = nodes.where("n > 0")
     roots = components(links(base, size, percent, found))
     first = filled.groupBy("node").agg(F.min("id").alias("first"))
