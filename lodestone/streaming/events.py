@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", key: str = "event_type") -> DataFrame:
     """Counts and sums by key and window; rows later than `late` are dropped on a stream."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    out = events.withWatermark("ts", late).groupBy(window.alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(window.alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), key, "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", key: str = "user_id") -> DataFrame:
     """Runs of events of a key without a pause over `gap`."""
-    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), key, "n", "total")
 
 
