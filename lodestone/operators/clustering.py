@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import with_rank
+
 
 def evenly_picked(rows: DataFrame, v: str, order: str, k: int) -> list[float]:
-    """The values at places i * (n div k) of the order. Places are counted by key ranges, not by collecting rows."""
+    """The values at places i * (n div k) of the order."""
     n = rows.count()
     step = max(n // k, 1)
-    ranked = rows.select(v, F.row_number().over(Window.orderBy(order)).alias("_r"))
-    return [r[0] for r in ranked.where((F.col("_r") - 1).isin([i * step for i in range(k) if i * step < n])).orderBy("_r").collect()]
+    ranked = with_rank(rows.select(v, order), order)
+    return [r[0] for r in ranked.where(F.col("rank").isin([i * step for i in range(k) if i * step < n])).orderBy("rank").select(v).collect()]
 
 
 def closest(v: Column, centres: list[float]) -> Column:

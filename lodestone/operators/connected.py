@@ -7,9 +7,11 @@ to the session's shared checkpoint folder, and only a count of changes comes to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import saved, with_rank
+
 OFFSETS = {
     4: [(1, 0), (0, 1)],
     8: [(1, 0), (0, 1), (1, 1), (1, -1)],
@@ -18,14 +20,6 @@ OFFSETS = {
 }
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the checkpoint folder of the session (a local one if it has none)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/lodestone-checkpoints")
-    return df.checkpoint()
-
-
 def label_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes: id; edges: a, b (each once, either way). Gives id and label, the smallest id of the component."""
     both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -55,8 +49,8 @@ def components(cells: DataFrame, axes: list[str], index: Column, connectivity: i
 
 
 def numbered(labelled: DataFrame) -> DataFrame:
-    """Labels 1 .. n in scan order instead of indexes. One row a component is numbered, not the cells."""
-    names = labelled.select("label").distinct().withColumn("number", F.row_number().over(Window.orderBy("label")))
+    """Labels 1 .. n in scan order instead of indexes."""
+    names = with_rank(labelled.select("label").distinct(), "label").select("label", (F.col("rank") + 1).cast("int").alias("number"))
     return labelled.join(names, "label").drop("label").withColumnRenamed("number", "label")
 
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .connected import saved
+from .ranking import saved
 
 
 def system_matrix(spark: SparkSession, size: int, angles: int) -> DataFrame:
