@@ -184,6 +184,20 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def kept_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows, with all their columns, whose text passes: no shuffle, no join. keep() is called once in each task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = keep()
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            for k in range(0, batch.num_rows, 512):
+                piece = batch.slice(k, 512)
+                yield piece.filter(pa.array([passes(t) for t in piece.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def per_row(fn: Callable[..., tuple], columns: tuple[str, ...], schema: pa.Schema, size: int = 2_000):
     """A mapInArrow function that gives one row for each row read."""
 

@@ -161,10 +161,26 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that aren't contaminated, with their columns. Ids are taken to be unique."""
-    bad = contamination(docs, benchmark, size, id_col, text_col).where(contaminated()).select(F.col("id").alias("_bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents that aren't contaminated, with their columns. A benchmark of one block is judged row by row; with
+    more blocks the verdicts come by a join on the ids, which are then taken to be unique."""
+    blocks = list(_blocks(benchmark, item_col, item_text_col))
+    if len(blocks) > 1:
+        bad = contamination(docs, benchmark, size, id_col, text_col, item_col, item_text_col).where(contaminated()).select(F.col("id").alias("_bad"))
+        return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    held = docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else [])
+
+    def keep():
+        index = Windows(held.value, size)
+
+        def passes(text):
+            w = words(text)
+            hit = sum(b - a for a, b in merged(index.hits(w)[0]))
+            return not (hit > 0 and 20 * hit >= len(w))
+
+        return passes
+
+    return common.kept_rows(docs, text_col, keep)
 
 
 def items_sha256(items: Iterable[str]) -> str:

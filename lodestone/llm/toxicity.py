@@ -289,7 +289,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
 
 
-def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that score below the threshold, with their columns. Ids are taken to be unique."""
-    bad = score(docs, model, id_col, text_col).where(F.col("score") >= threshold).select(F.col("id").alias("_bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that score below the threshold, with their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep():
+        model = held.value
+        reader = Reader(model.terms)
+        return lambda text: model.score(reader.features(text)) < threshold
+
+    return common.kept_rows(docs, text_col, keep)
