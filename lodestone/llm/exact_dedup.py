@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common
 
 KEY_CHARS = 48
 SPACE = r"[ \t\n\x0B\f\r]+"
@@ -79,6 +79,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay. Ids are taken to be unique; rows that share an id share its fate."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("id").alias("_kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of docs that stay. Ids are taken to be unique; rows that share an id share its fate, rows without one stay."""
+    gone = common.materialize(exact_dedup(docs, id_col, text_col).where("not kept and id is not null").select(F.col("id").alias("gone")))
+    return bloom.without_ids(docs, id_col, gone)

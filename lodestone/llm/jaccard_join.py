@@ -41,14 +41,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common
 from .components import components
 
 REGION_ROWS, REGION_BYTES = 3_000, 24 << 20
 LEAF = 64
 #: At most this many frequent shingles are put last; which are frequent is relative to the input.
-FREQUENT = 500_000
-FREQUENT_SHARE = 2_000
+FREQUENT = 2_000_000
+FREQUENT_SHARE = 10_000
 TOGETHER = 3_000_000
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -297,8 +297,10 @@ def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFra
     groups = common.materialize(components(compared.groupBy("task").applyInArrow(_compare_sketches(percent), "a long, b long")))
     members = groups.union(groups.select("root", "root").distinct()).join(first.drop("sketch"), "node")
     tasks = common.materialize(_blocks(members, ["root"], F.col("len")).groupBy("node", "id", "len", "crc").agg(F.collect_list("task").alias("tasks")))
-    same = [base[c].eqNullSafe(tasks[c]) for c in ("id", "len", "crc")]
-    sent = base.join(tasks, same).select("node", F.explode("tasks").alias("task"), "text")
+    key = F.xxhash64("id", "len", "crc")
+    maybe = bloom.marked(base, key, tasks, key).where("_maybe")
+    same = [maybe[c].eqNullSafe(tasks[c]) for c in ("id", "len", "crc")]
+    sent = maybe.join(tasks, same).select("node", F.explode("tasks").alias("task"), "text")
     return sent.groupBy("task").applyInArrow(_join_block(size, percent), "a long, b long")
 
 
@@ -319,8 +321,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first row by id of each component, with its columns. Ids are taken to be unique; rows with null ids stay."""
-    gone = near_duplicates(docs, size, percent, id_col, text_col).where("id != component_id").select(F.col("id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = common.materialize(near_duplicates(docs, size, percent, id_col, text_col).where("id != component_id").select(F.col("id").alias("gone")))
+    return bloom.without_ids(docs, id_col, gone)
 
 
 def brute_force(rows: list[tuple[int, str | None]], size: int = 5, percent: int = 80) -> list[tuple[int, int, int]]:
