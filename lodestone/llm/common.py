@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -38,6 +39,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished queries now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete what materialize() wrote for df, once nothing reads it any more."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -291,6 +291,7 @@ def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFra
     prefixes = texts.mapInArrow(_prefixes(size, percent, last), "s long, node long")
     shared = prefixes.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("s", "pivot")
     regions = common.materialize(prefixes.join(shared, "s").select("node", "pivot").distinct())
+    common.sweep(base.sparkSession)
     first = common.materialize(nodes.groupBy("node").agg(F.min(F.struct("id", "len", "crc")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "n", "sketch", "x.*"))
     classes = common.materialize(_classes(regions.join(first.select("node", "n"), "node"), percent))
     compared = _blocks(classes.join(first.select("node", "sketch"), "node"), ["pivot", "k"], F.octet_length("sketch"))

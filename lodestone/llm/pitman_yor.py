@@ -2,7 +2,7 @@
 
 A restaurant stands for a context, a dish for a word. All context restaurants share one parent, the restaurant of the
 corpus, whose own base spreads evenly over the known words and one unknown word. A context is the class of the word
-before: its last two bytes (the start of a text has a class of its own), so there are at most 65,793 contexts, whatever
+before: its last two bytes (the start of a text has a class of its own), so there are at most 65,536 contexts, whatever
 the corpus. (Whole words as contexts would need a pair for every second token, more than the disk that this operator
 is allowed; the class keeps most of the gain.)
 
@@ -23,6 +23,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,11 +36,12 @@ from . import common
 from .toxicity import in_fold
 
 #: Bytes of text in a block, tokens counted together by a worker.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 TOGETHER = 3_000_000
 #: Burn-in sweeps, sweeps averaged, concentration.
 BURN_IN, SAMPLES, STRENGTH = 2, 2, 1.0
-START = 1 << 16
+#: The class of the start of a text; no word that ends in two bytes other than zeros has it.
+START, CONTEXTS = 0, 1 << 16
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -104,8 +106,7 @@ class Totals:
     """What a sweep must know of all others: customers and tables of each context, and of the parent."""
 
     def __init__(self, contexts: pd.DataFrame, dishes: int, discount: float, parent_discount: float, parent: tuple[float, float]) -> None:
-        size = START + 1
-        self.customers, self.tables = np.zeros(size), np.zeros(size)
+        self.customers, self.tables = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
         self.customers[contexts["u"]], self.tables[contexts["u"]] = contexts["n"], contexts["t"]
         self.dishes, self.discount, self.parent_discount = dishes, discount, parent_discount
         self.parent_customers, self.parent_tables = parent
@@ -196,6 +197,7 @@ def train(docs: DataFrame, text_col: str = "text", burn_in: int = BURN_IN, sampl
     empty = F.expr("cast(array() as array<double>)")
     words = pairs.groupBy("w").agg(F.collect_list(F.struct("u", "n")).alias("l"), F.sum("n").alias("c"))
     state = common.materialize(words.select("w", "c", F.col("l.u").alias("u"), F.col("l.n").alias("n"), F.transform("l.n", lambda x: F.lit(1).cast("long")).alias("t"), F.lit(1).cast("long").alias("t0"), empty.alias("p"), empty.alias("a")))
+    common.sweep(docs.sparkSession)
     tokens, dishes, once, twice = state.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *[F.coalesce(F.sum(F.size(F.filter("n", lambda x, k=k: x == k))), F.lit(0)) for k in (1, 2)]).first()
     discount, parent_discount, found = _discount(once, twice), 0.5, []
 
@@ -217,6 +219,7 @@ def train(docs: DataFrame, text_col: str = "text", burn_in: int = BURN_IN, sampl
             found.append(now)
             last, state = state, common.materialize(state.mapInArrow(_predict(sc.broadcast(now), samples), _STATE))
             common.release(last)
+    common.sweep(docs.sparkSession)
     return Model(state.select("w", "c", "p", "u", "a"), found, tokens, dishes)
 
 
@@ -237,9 +240,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), key[0].as_py(), np.int32)), pa.array(w)], names=["block", "w"])
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, w long")
-    # Numbers of four bytes do for what is sent to the blocks.
-    sent = model.words.select("w", "c", F.col("p").cast("array<float>").alias("p"), "u", F.col("a").cast("array<float>").alias("a"))
-    answers = asked.join(sent, "w")
+    answers = asked.join(model.words.mapInArrow(_pack, "w long, packed binary"), "w")
     held = sc.broadcast((model.totals, model.tokens, model.dishes))
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -251,26 +252,54 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, "id long, n_tokens long, n_known long, base_score double, score double")
 
 
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a block needs of a word in few bytes: the count, the parent's probabilities, the pairs' contexts and parts (four-byte numbers)."""
+    for b in batches:
+        rows = zip(b["w"].to_pylist(), b["c"].to_pylist(), b["p"].to_pylist(), b["u"].to_pylist(), b["a"].to_pylist(), strict=True)
+        w, packed = [], []
+        for word, c, p, u, a in rows:
+            w.append(word)
+            packed.append(struct.pack(f"<q{len(p)}f{len(u)}H{len(a)}f", c, *p, *u, *a))
+        yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(packed, pa.binary())], names=["w", "packed"])
+
+
+def _unpack(packed: pa.Array, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """c, p, the number of pairs, and all pairs' contexts and parts in the rows' order."""
+    sizes = np.array([len(x) for x in packed.to_pylist()], np.int64)
+    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    head = 8 + 4 * samples
+    pairs = (sizes - head) // 6
+
+    def part(at: np.ndarray, width: int, kind: str) -> np.ndarray:
+        return np.ascontiguousarray(raw[at[:, None] + np.arange(width)]).view(kind)
+
+    within = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    first = np.repeat(starts + head, pairs)
+    u = part(first + 2 * within, 2, "<u2").ravel().astype(np.int64)
+    a = part(first + 2 * np.repeat(pairs, pairs) + 4 * within, 4, "<f4").ravel().astype(np.float64)
+    return part(starts, 8, "<i8").ravel(), part(starts + 8, 4 * samples, "<f4"), pairs, u, a
+
+
 class _Answers:
     """The words of a block: counts, probabilities and pairs, for look-up by binary search."""
 
     def __init__(self, table: pa.Table, totals: list[Totals], tokens: int, dishes: int) -> None:
         self.totals, self.tokens, self.dishes = totals, tokens, dishes
-        self.leaks = np.array([k.leak(np.arange(START + 1)) for k in totals])
+        self.leaks = np.array([k.leak(np.arange(CONTEXTS)) for k in totals])
         self.unseen = np.array([k.parent_p(np.zeros(1), np.zeros(1))[0] for k in totals])
         if not table.num_rows:
             self.w = np.zeros(0, np.int64)
             return
-        chunk = lambda name: table[name].combine_chunks()
-        w = chunk("w").to_numpy()
+        w = table["w"].combine_chunks().to_numpy()
+        c, p, pairs, u, a = _unpack(table["packed"].combine_chunks(), len(totals))
         order = np.argsort(w)
-        self.w, self.c = w[order], chunk("c").to_numpy()[order]
-        self.p = _flat(chunk("p")).reshape(len(w), len(totals)).astype(np.float64)[order]
+        self.w, self.c, self.p = w[order], c[order], p.astype(np.float64)[order]
         rank = np.empty(len(w), np.int64)
         rank[order] = np.arange(len(w))
-        key = np.repeat(rank, chunk("u").value_lengths().to_numpy(zero_copy_only=False)) * (START + 1) + _flat(chunk("u"))
+        key = np.repeat(rank, pairs) * CONTEXTS + u
         by_key = np.argsort(key)
-        self.key, self.a = key[by_key], _flat(chunk("a"))[by_key]
+        self.key, self.a = key[by_key], a[by_key]
 
     def score(self, w: np.ndarray, u: np.ndarray) -> tuple[int, int, float, float]:
         n = len(w)
@@ -280,7 +309,7 @@ class _Answers:
             known = self.w[at] == w
             c[known] = self.c[at[known]]
             p[:, known] = self.p[at[known]].T
-            key = np.where(known, at * (START + 1) + u, -1)
+            key = np.where(known, at * CONTEXTS + u, -1)
             slot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
             pair = self.key[slot] == key
             a[pair] = self.a[slot[pair]]
