@@ -89,8 +89,8 @@ def size_class(n: int, percent: int) -> int:
 
 
 def buckets(k: int, percent: int) -> int:
-    """Buckets of a sketch in a class of size: a power of two near a seventh of the sets' size."""
-    return 1 << int(np.clip(np.ceil(k * np.log2(100 / percent) + np.log2(0.15)), 4, 14))
+    """Buckets of a sketch in a class of size: a power of two near a tenth of the sets' size."""
+    return 1 << int(np.clip(np.ceil(k * np.log2(100 / percent) + np.log2(0.08)), 4, 14))
 
 
 def sketch_of(shingles: np.ndarray, percent: int) -> bytes:
