@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import saved
+
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs with low <= at <= high. Ranges are cut into buckets of `width`, so the join is by key; choose the width near a range's length."""
@@ -45,6 +47,25 @@ def nearest(rows: DataFrame, palette: DataFrame, key: str, distance: Column, ind
     return paired.groupBy(key).agg(F.min_by(index, F.struct(distance, index)).alias(index), F.min(distance).alias("distance"))
 
 
+def nearest_on_line(rows: DataFrame, palette: DataFrame, key: str, at: str, index: str) -> DataFrame:
+    """Each row with the nearest entry along one axis, the first of equals, from a palette of any size: both have a column
+    `at` and are dealt by it as ranges, and each range gets the last entry before it and the first one after it. Rows
+    without a place have no entry; entries without one are left out."""
+    entries = palette.where(F.col(at).isNotNull()).groupBy(at).agg(F.min(index).alias(index)).withColumn("_side", F.lit(0))
+    both = rows.select(key, at).withColumn("_side", F.lit(1)).unionByName(entries, allowMissingColumns=True)
+    dealt = saved(both.repartitionByRange(at, "_side", key).withColumn("_part", F.spark_partition_id()))
+    entry = F.when(F.col("_side") == 0, F.struct(F.col(at).alias("x"), F.col(index).alias("i")))
+    ends = dealt.groupBy("_part").agg(F.min(entry).alias("_first"), F.max(entry).alias("_last"))
+    parts = Window.orderBy("_part")  # one row for each range
+    before = F.last("_last", True).over(parts.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_first", True).over(parts.rowsBetween(1, Window.unboundedFollowing))
+    # Both ways as running windows: Spark reads a frame up to the last row anew for each row.
+    lo, hi = (F.last(entry, True).over(Window.partitionBy("_part").orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)) for order in (F.asc(at), F.desc(at)))
+    found = dealt.withColumns({"_lo": lo, "_hi": hi}).where("_side = 1").join(F.broadcast(ends.select("_part", before.alias("_before"), after.alias("_after"))), "_part")
+    near = [F.when(F.col(at).isNotNull() & e.isNotNull(), F.struct(F.abs(F.col(at) - e["x"]).alias("distance"), e["i"].alias("i"))) for e in (F.coalesce("_lo", "_before"), F.coalesce("_hi", "_after"))]
+    return found.withColumn("_near", F.least(*near)).select(key, F.col("_near.i").alias(index), "_near.distance")
+
+
 def within_distance(points: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """Pairs (id, id2, d) of different points at most radius apart, by cells of that size."""
     cell = [F.floor(F.col(a) / radius).alias(f"c{a}") for a in axes]

@@ -53,12 +53,24 @@ def threshold_region(spark, sf_dir):
     return C.threshold_region(image(spark, sf_dir).where("y < 100"), {"x": 12, "y": 40}, None, -0.12, AXES, index(), 8).select("x", "y")
 
 
+def threshold_region_whole(spark, sf_dir):
+    """The region in all rows of the image."""
+    return C.threshold_region(image(spark, sf_dir), {"x": 12, "y": 40}, None, -0.12, AXES, index(), 8).select("x", "y")
+
+
 def nearest_palette(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     palette = table(spark, sf_dir, "supplier").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("entry"), "s_acctbal")
     return rounded(M.nearest(rows, palette, "c_custkey", F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "entry"), 6)
 
 
+def nearest_palette_whole(spark, sf_dir):
+    """All suppliers as the palette."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("at"))
+    palette = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entry"), F.col("s_acctbal").alias("at"))
+    return rounded(M.nearest_on_line(rows, palette, "c_custkey", "at", "entry"), 6)
+
+
 def range_join(spark, sf_dir):
     planes = spark.range(0, 600_000, 2500).select((F.col("id") + 0.5).alias("z"))
     ranges = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("lo"), (F.col("o_totalprice") * 1.02).alias("hi"))
@@ -79,6 +91,14 @@ def bracketing(spark, sf_dir):
     return rounded(M.bracket(left, knots, ["l_suppkey"], "q", "price"), 1)
 
 
+def bracketing_whole(spark, sf_dir):
+    """The mean price at every quantity for every supplier, from all of the supplier's quantities."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").alias("q"), "l_extendedprice")
+    knots = li.groupBy("l_suppkey", "q").agg(F.avg("l_extendedprice").alias("price"))
+    left = knots.select("l_suppkey").distinct().crossJoin(F.broadcast(knots.select("q").distinct()))
+    return rounded(M.bracket(left, knots, ["l_suppkey"], "q", "price"), 6)
+
+
 def _points(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 20).alias("y"), (F.col("p_partkey") % 40).cast("double").alias("z"))
 
@@ -124,6 +144,7 @@ QUERIES = {
     "components_4": components_4, "components_8": components_8, "largest_component": largest_component, "region_growing": region_growing, "fill_holes": fill_holes, "threshold_region": threshold_region,
     "nearest_palette": nearest_palette, "range_join": range_join, "as_of_join": as_of_join, "bracketing_join": bracketing, "distance_join": within_distance, "nearest_three": nearest_three,
     "anchor_groups": gap_groups, "mask_difference": semi_anti, "mask_symmetric_difference": symmetric_difference, "kmeans_1d": kmeans_1d, "gaussian_mixture_1d": mixture_1d,
+    "threshold_region_whole": threshold_region_whole, "nearest_palette_whole": nearest_palette_whole, "bracketing_join_whole": bracketing_whole,
 }
 
 _REACH = """m AS (SELECT x, y, y * 64 + x AS id FROM img WHERE v > 0.2), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id <> b.id AND a.y BETWEEN b.y - 1 AND b.y + 1{four}),
