@@ -7,6 +7,8 @@ more keys only let more rows through, and an exact join always follows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,15 @@ def marked(df: DataFrame, h: Column, keys: DataFrame, key_h: Column) -> DataFram
     return found.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_block", *[f"_w{k}" for k in range(8)])
 
 
-def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose id isn't in gone (one column `gone`). Only rows that the filter can't clear are shuffled."""
-    h = F.xxhash64(F.col(id_col).cast("long"))
-    rows = marked(docs, h, gone, F.xxhash64(F.col("gone").cast("long")))
-    possible = rows.where("_maybe")
-    return rows.where("not _maybe").drop("_maybe").unionByName(possible.join(gone, possible[id_col] == gone["gone"], "left_anti").drop("_maybe"))
+def without_rows(docs: DataFrame, id_col: str, marks: DataFrame, marked_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs, with their columns, less those that `marks` names: `gone` (an id or null), `mark` (what tells the
+    rows of one id apart) and `stays` (whether one row of this id and mark stays, or none). Marks must hold each id and
+    mark that several rows have, so that any others are one row each. marked_rows() adds `_mark` to rows; rows whose
+    mark is null stay. Only rows whose id the filter can't clear are marked and shuffled."""
+    rows = marked(docs, F.xxhash64(F.col(id_col).cast("long")), marks, F.xxhash64("gone"))
+    possible = marked_rows(rows.where("_maybe").drop("_maybe"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    one = possible.where("_mark is not null").groupBy(F.col(id_col).cast("long").alias("_id"), "_mark").agg(F.first(whole).alias("_row"))
+    gone = marks.where("not stays")
+    left = one.join(gone, one["_id"].eqNullSafe(gone["gone"]) & (one["_mark"] == gone["mark"]), "left_anti").select("_row.*")
+    return rows.where("not _maybe").drop("_maybe").unionByName(possible.where("_mark is null").drop("_mark")).unionByName(left)

@@ -31,6 +31,10 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
+def _sha(text):
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted; each run of equal texts is given with its smallest id and size."""
     part = TaskContext.get().partitionId()
@@ -60,7 +64,7 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, sha (binary SHA-256 of the normalised text)."""
     norm = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("text"))
-    keyed = norm.select("id", "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.substring("text", 1, KEY_CHARS).alias("key"))
+    keyed = norm.select("id", "text", _sha(F.col("text")).alias("sha"), F.substring("text", 1, KEY_CHARS).alias("key"))
     order = [F.col("key"), F.col("sha"), F.col("id").asc_nulls_last()]
     runs = common.materialize(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, "id long, sha binary, run_min long, run_size long, head boolean, edge boolean, part int"))
     # At most two edge runs for each partition: a bounded table.
@@ -79,6 +83,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay. Ids are taken to be unique; rows that share an id share its fate, rows without one stay."""
-    gone = common.materialize(exact_dedup(docs, id_col, text_col).where("not kept and id is not null").select(F.col("id").alias("gone")))
-    return bloom.without_ids(docs, id_col, gone)
+    """One row of each group of equal texts, with its columns: a row with the smallest id of the group, null ids last."""
+    found = exact_dedup(docs, id_col, text_col).where("group_size > 1").groupBy(F.col("id").alias("gone"), F.col("sha").alias("mark"))
+    # Of the rows that share id and text one is kept at most.
+    marks = common.materialize(found.agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1").drop("n"))
+    return bloom.without_rows(docs, id_col, marks, lambda rows: rows.withColumn("_mark", _sha(normalised(F.col(text_col)))))
