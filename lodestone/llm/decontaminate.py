@@ -161,26 +161,38 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents that aren't contaminated, with their columns. A benchmark of one block is judged row by row; with
-    more blocks the verdicts come by a join on the ids, which are then taken to be unique."""
-    blocks = list(_blocks(benchmark, item_col, item_text_col))
-    if len(blocks) > 1:
-        bad = contamination(docs, benchmark, size, id_col, text_col, item_col, item_text_col).where(contaminated()).select(F.col("id").alias("_bad"))
-        return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
-    held = docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else [])
-
-    def keep():
-        index = Windows(held.value, size)
-
-        def passes(text):
+def _judge(block, size: int, text_col: str, last: bool):
+    """Adds a block's hits to `_spans`; with the last block, the rows that pass are left."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Windows(block.value, size)
+
+        def hit(text: str | None, spans: list[dict]) -> tuple[int, list[tuple[int, int]]]:
             w = words(text)
-            hit = sum(b - a for a, b in merged(index.hits(w)[0]))
-            return not (hit > 0 and 20 * hit >= len(w))
+            return len(w), merged([(s["a"], s["b"]) for s in spans] + index.hits(w)[0])
+
+        for batch in batches:
+            text, at = (batch.schema.get_field_index(c) for c in (text_col, "_spans"))
+            for k in range(0, batch.num_rows, 512):
+                piece = batch.slice(k, 512)
+                found = [hit(*r) for r in zip(piece.column(text).to_pylist(), piece.column(at).to_pylist(), strict=True)]
+                if last:
+                    hits = [(n, sum(b - a for a, b in spans)) for n, spans in found]
+                    yield piece.filter(pa.array([not (n_hit > 0 and 20 * n_hit >= n) for n, n_hit in hits], pa.bool_()))
+                else:
+                    yield piece.set_column(at, "_spans", pa.array([[{"a": a, "b": b} for a, b in spans] for _, spans in found], _SCHEMA.field("spans").type))
+
+    return run
 
-        return passes
 
-    return common.kept_rows(docs, text_col, keep)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents that aren't contaminated, with their columns: each row is judged by its own hits, whatever its id and
+    however many blocks the benchmark has."""
+    out = docs.withColumn("_spans", F.expr("cast(array() as array<struct<a:int,b:int>>)"))
+    blocks = list(_blocks(benchmark, item_col, item_text_col)) or [[]]
+    for k, block in enumerate(blocks):
+        out = out.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(block), size, text_col, k == len(blocks) - 1), out.schema)
+    return out.drop("_spans")
 
 
 def items_sha256(items: Iterable[str]) -> str:

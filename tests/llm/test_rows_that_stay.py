@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from lodestone.llm import exact_dedup
+from lodestone.llm import decontaminate, exact_dedup
 
 
 @pytest.fixture(scope="module")
@@ -22,3 +22,25 @@ def test_exact_copies(spark, frame):
     assert got.columns == docs.columns
     assert pairs(got) == Counter([(None, None), (1, "a  b"), (1, "c"), (None, "n"), (None, "only"), (2, "alone"), (3, "x y"), (4, "z")])
     assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_contaminated_rows(spark, frame, monkeypatch):
+    bad, other, clean = "k1 k2 k3 k4 k5 k6 k7 k8", "m1 m2 m3 m4 m5", "some clean words that nobody asks for"
+    rows = [(None, bad), (None, clean), (None, None), (1, f"{clean} {bad}"), (1, clean), (2, other), (2, clean), (2, clean), (3, f"{bad} {other}"), (4, "")]
+    docs = frame(rows)
+    bench = spark.createDataFrame([(1, bad), (2, other), (3, "q r s t u v w")], "item_id long, text string")
+    want = Counter(r for r in rows if "k1" not in (r[1] or "") and "m1" not in (r[1] or ""))
+    for block in (5, 10**6):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        got = decontaminate.drop_contaminated(docs, bench, size=5)
+        assert got.columns == docs.columns and pairs(got) == want
+    assert decontaminate.drop_contaminated(docs, bench.limit(0), size=5).count() == len(rows)
+
+
+def test_hits_of_all_blocks_count_together(spark, frame, monkeypatch):
+    """Two items hit one word in forty each: only both together are one in twenty."""
+    docs = frame([(1, " ".join(["alpha", "beta", *(f"w{k}" for k in range(38))])), (1, " ".join(["alpha", *(f"w{k}" for k in range(39))]))])
+    bench = spark.createDataFrame([(1, "alpha"), (2, "beta")], "item_id long, text string")
+    for block in (1, 10**6):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        assert [r["text"].split()[1] for r in decontaminate.drop_contaminated(docs, bench).collect()] == ["w0"]
