@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import bloom, common
 from .components import components
@@ -305,8 +306,9 @@ def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFra
     return sent.groupBy("task").applyInArrow(_join_block(size, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id that links reach)."""
+def _linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with shingles (id, n_shingles, component_id, node, and the component's `keep_node`: the smallest node of
+    those with the smallest id), and the rows without (id, n)."""
     base = _base(docs, id_col, text_col)
     found = common.materialize(base.mapInArrow(_nodes(size, percent), _FOUND))
     nodes = found.where("not frequent").drop("frequent", "sketch")
@@ -314,16 +316,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     roots = components(links(base, size, percent, found))
     first = filled.groupBy("node").agg(F.min("id").alias("first"))
     rooted = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_node = rooted.join(lowest, "root").select("node", "component_id")
-    linked = filled.join(of_node, "node").select("id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(nodes.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    lowest = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("x"))
+    of_node = rooted.join(lowest, "root").select("node", F.col("x.first").alias("component_id"), F.col("x.node").alias("keep_node"))
+    return filled.join(of_node, "node").select("id", F.col("n").alias("n_shingles"), "component_id", "node", "keep_node"), nodes.where("n = 0").select("id", "n")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (the smallest id that links reach)."""
+    linked, bare = _linked(docs, size, percent, id_col, text_col)
+    return linked.select("id", "n_shingles", "component_id").unionByName(bare.select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+
+
+def _marked(size: int, text_col: str):
+    """Adds `_mark`, the node of the row's text; null if it has no shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                piece = batch.slice(k, 512)
+                sets = (shingler.set_of(t) for t in piece.column(piece.schema.get_field_index(text_col)).to_pylist())
+                yield piece.append_column("_mark", pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()))
+
+    return run
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first row by id of each component, with its columns. Ids are taken to be unique; rows with null ids stay."""
-    gone = common.materialize(near_duplicates(docs, size, percent, id_col, text_col).where("id != component_id").select(F.col("id").alias("gone")))
-    return bloom.without_ids(docs, id_col, gone)
+    """One row of each component, with its columns: a row with the smallest id, null ids last; of several such rows, one
+    with the smallest node. Rows without shingles link with nothing and stay."""
+    linked, _ = _linked(docs, size, percent, id_col, text_col)
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("keep_node"))
+    found = linked.groupBy(F.col("id").alias("gone"), F.col("node").alias("mark")).agg(F.bool_and(stays).alias("stays"), F.count("*").alias("n"))
+    marks = common.materialize(found.where("not stays or n > 1").drop("n"))
+    return bloom.without_rows(docs, id_col, marks, lambda rows: rows.mapInArrow(_marked(size, text_col), StructType([*rows.schema.fields, StructField("_mark", LongType())])))
 
 
 def brute_force(rows: list[tuple[int, str | None]], size: int = 5, percent: int = 80) -> list[tuple[int, int, int]]:

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from lodestone.llm import decontaminate, exact_dedup
+from lodestone.llm import decontaminate, exact_dedup, jaccard_join
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +44,26 @@ def test_hits_of_all_blocks_count_together(spark, frame, monkeypatch):
     for block in (1, 10**6):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
         assert [r["text"].split()[1] for r in decontaminate.drop_contaminated(docs, bench).collect()] == ["w0"]
+
+
+def test_near_copies(spark, frame):
+    def text(name, *last):
+        return " ".join([f"{name}{k}" for k in range(60)] + list(last))
+
+    a, b, c, d = text("a"), text("b"), text("c"), text("d")
+    groups = [
+        [(5, a), (7, text("a", "x")), (7, text("a", "y"))],
+        [(1, b), (1, text("b", "x")), (1, b)],
+        [(None, c), (None, text("c", "x")), (None, c)],
+        [(None, d), (9, text("d", "x"))],
+    ]
+    alone = [(7, text("e")), (7, text("f")), (1, text("g")), (None, text("h")), (None, None), (None, None), (7, ""), (7, ""), (1, "")]
+    docs = frame([r for g in groups for r in g] + alone)
+    got = jaccard_join.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    left = pairs(got)
+    for group in groups:
+        kept = [r for r in left.elements() if r in group]
+        assert len(kept) == 1 and kept[0][0] == min((i for i, _ in group if i is not None), default=None)
+    assert left - Counter(r for g in groups for r in g) == Counter(alone)
+    assert jaccard_join.drop_near_duplicates(docs.limit(0)).count() == 0
