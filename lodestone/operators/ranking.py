@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the checkpoint folder of the session (a local one if it has none)."""
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/lodestone-checkpoints")
-    return df.checkpoint()
+from ..storage import materialize as saved
 
 
 def with_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
