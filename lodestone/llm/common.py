@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import math
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize, release  # noqa: F401
+
 U64 = np.uint64
 #: Odd multipliers of the polynomial and of the finaliser (fixed values).
 POLY = 0x9E3779B97F4A7C15
@@ -22,38 +22,6 @@ MASK = (1 << 64) - 1
 WORD_MEMORY = 300_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from the session; a local one only if the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "/tmp/lodestone-checkpoints"
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished queries now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def release(df: DataFrame) -> None:
-    """Delete what materialize() wrote for df, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lodestone-" in file:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def input_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a string column, counted over all rows."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0

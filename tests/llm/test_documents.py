@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, exact_dedup, jaccard_join, pitman_yor, queries, sharding, substring_dedup, toxicity
+from lodestone.llm import bpe, decontaminate, exact_dedup, jaccard_join, queries, sharding, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, sha string, node string, shard string, key string, part string"
 
@@ -256,46 +256,6 @@ def test_quotation_counts_as_context():
     assert r.features("what an idiot you are")[at] == 0.0
 
 
-def test_lm_counts_and_normalisation(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: r for r in pitman_yor.score_corpus(docs).collect()}
-    low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-    tokens = {i: (t or "").encode().translate(low).split() + [None] for i, t in rows}
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    counts = {}
-    for i, w in tokens.items():
-        if not held(i):
-            for x in w:
-                counts[x] = counts.get(x, 0) + 1
-    total, kinds = sum(counts.values()), len(counts)
-    for i, w in tokens.items():
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(w), sum(x in counts for x in w), total)
-        assert abs(r["base_score"] - sum(np.log10((counts.get(x, 0) + 1) / (total + kinds + 1)) for x in w)) < 1e-6 * max(1, len(w))
-    assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
-
-
-def test_lm_probabilities_sum_to_one(spark, rows):
-    docs = spark.createDataFrame([r for r in rows if r[1] and len(r[1]) < 5000], "doc_id long, text string")
-    model = pitman_yor.train(docs)
-    table = model.words.toPandas()
-    share = np.zeros(len(model.totals))
-    for k in range(len(model.totals)):
-        share[k] = sum(p[k] for p in table["p"]) + model.totals[k].parent_p(np.zeros(1), np.zeros(1))[0]
-    assert np.allclose(share, 1)
-    own = {}
-    for u, a in zip(table["u"], table["a"], strict=True):
-        for x, y in zip(u, a, strict=True):
-            own[x] = own.get(x, 0.0) + y
-    for u, a in own.items():
-        assert abs(a + np.mean([t.leak(np.array([u]))[0] for t in model.totals]) - 1) < 1e-9
-
-
-def test_lm_odd_tables(odd, empty):
-    assert pitman_yor.score_corpus(odd).count() == 7
-    assert pitman_yor.score_corpus(empty).count() == 0
-
-
 def test_hashing_is_the_same_in_pieces(monkeypatch):
     from lodestone.llm import common
 
