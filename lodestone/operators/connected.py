@@ -1,15 +1,11 @@
-"""Connected components of sparse grids and graphs, and what builds on them.
-
-Nodes keep the smallest index they have heard of from their neighbours; each round also follows the label's own label, so
-the number of rounds grows with the logarithm of a component's length. Rounds are joins by key; the state is written
-to the session's shared checkpoint folder, and only a count of changes comes to the driver.
-"""
+"""Connected components of sparse grids and graphs, and what builds on them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import rooted
 from .ranking import saved, with_rank
 
 OFFSETS = {
@@ -22,16 +18,8 @@ OFFSETS = {
 
 def label_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes: id; edges: a, b (each once, either way). Gives id and label, the smallest id of the component."""
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = saved(nodes.select("id", F.col("id").alias("label")))
-    while True:
-        heard = both.join(state, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
-        near = state.join(heard, F.col("id") == F.col("a"), "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
-        roots = near.select(F.col("id").alias("r"), F.col("label").alias("rl"))
-        state_next = saved(near.join(roots, near["label"] == roots["r"], "left").select("id", F.least("label", F.coalesce("rl", "label")).alias("label"), "old"))
-        if state_next.where("label < old").limit(1).count() == 0:
-            return state_next.select("id", "label")
-        state = state_next.select("id", "label")
+    found = rooted(edges).select("id", F.col("root").alias("label"))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 def grid_edges(cells: DataFrame, axes: list[str], connectivity: int) -> DataFrame:

@@ -50,22 +50,11 @@ def fill_holes(spark, sf_dir):
 
 
 def threshold_region(spark, sf_dir):
-    return C.threshold_region(image(spark, sf_dir).where("y < 100"), {"x": 12, "y": 40}, None, -0.12, AXES, index(), 8).select("x", "y")
-
-
-def threshold_region_whole(spark, sf_dir):
-    """The region in all rows of the image."""
     return C.threshold_region(image(spark, sf_dir), {"x": 12, "y": 40}, None, -0.12, AXES, index(), 8).select("x", "y")
 
 
 def nearest_palette(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    palette = table(spark, sf_dir, "supplier").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("entry"), "s_acctbal")
-    return rounded(M.nearest(rows, palette, "c_custkey", F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "entry"), 6)
-
-
-def nearest_palette_whole(spark, sf_dir):
-    """All suppliers as the palette."""
+    """Customers with the nearest of all suppliers by balance."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("at"))
     palette = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entry"), F.col("s_acctbal").alias("at"))
     return rounded(M.nearest_on_line(rows, palette, "c_custkey", "at", "entry"), 6)
@@ -85,16 +74,9 @@ def as_of_join(spark, sf_dir):
 
 
 def bracketing(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    knots = li.where("l_suppkey <= 20").groupBy("l_suppkey", F.col("l_quantity").alias("q")).agg(F.avg("l_extendedprice").alias("price")).where("q % 7 = 0")
-    left = li.where("l_suppkey <= 20").select("l_suppkey", F.col("l_quantity").alias("q")).distinct()
-    return rounded(M.bracket(left, knots, ["l_suppkey"], "q", "price"), 1)
-
-
-def bracketing_whole(spark, sf_dir):
     """The mean price at every quantity for every supplier, from all of the supplier's quantities."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").alias("q"), "l_extendedprice")
-    knots = li.groupBy("l_suppkey", "q").agg(F.avg("l_extendedprice").alias("price"))
+    knots = li.groupBy("l_suppkey", "q").agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.count("*") / 100).alias("price"))
     left = knots.select("l_suppkey").distinct().crossJoin(F.broadcast(knots.select("q").distinct()))
     return rounded(M.bracket(left, knots, ["l_suppkey"], "q", "price"), 6)
 
@@ -144,7 +126,6 @@ QUERIES = {
     "components_4": components_4, "components_8": components_8, "largest_component": largest_component, "region_growing": region_growing, "fill_holes": fill_holes, "threshold_region": threshold_region,
     "nearest_palette": nearest_palette, "range_join": range_join, "as_of_join": as_of_join, "bracketing_join": bracketing, "distance_join": within_distance, "nearest_three": nearest_three,
     "anchor_groups": gap_groups, "mask_difference": semi_anti, "mask_symmetric_difference": symmetric_difference, "kmeans_1d": kmeans_1d, "gaussian_mixture_1d": mixture_1d,
-    "threshold_region_whole": threshold_region_whole, "nearest_palette_whole": nearest_palette_whole, "bracketing_join_whole": bracketing_whole,
 }
 
 _REACH = """m AS (SELECT x, y, y * 64 + x AS id FROM img WHERE v > 0.2), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id <> b.id AND a.y BETWEEN b.y - 1 AND b.y + 1{four}),
@@ -176,14 +157,16 @@ ORACLE_SQL = {
         {_flood('SELECT x, y FROM s', 'SELECT x, y FROM img, a WHERE abs(v - m) <= 0.06e0 OR (y % 50 = 0 AND x = 10)')} SELECT CAST(x AS INTEGER) AS x, y FROM f""",
     "fill_holes": f"""WITH RECURSIVE {_IMG}, h AS (SELECT max(y) AS h FROM img), {_flood('SELECT x, y FROM p, h WHERE x = 0 OR x = 63 OR y = 0 OR y = h', 'SELECT x, y FROM img WHERE NOT v > -0.05')}
         SELECT CAST(x AS INTEGER) AS x, y FROM img WHERE (x, y) NOT IN (SELECT (x, y) FROM f)""",
-    "threshold_region": f"WITH RECURSIVE {_IMG}, {_flood('SELECT x, y FROM p WHERE x = 12 AND y = 40', 'SELECT x, y FROM img WHERE v >= -0.12e0 AND y < 100', _EIGHT)} SELECT CAST(x AS INTEGER) AS x, y FROM f",
-    "nearest_palette": f"WITH d AS (SELECT c_custkey, s_suppkey AS entry, abs(c_acctbal - s_acctbal) AS d FROM customer, supplier WHERE s_suppkey <= 40), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, entry) AS r FROM d) SELECT c_custkey, entry, {_r('d', 'distance', 6)} FROM r WHERE r = 1",
+    "threshold_region": f"WITH RECURSIVE {_IMG}, {_flood('SELECT x, y FROM p WHERE x = 12 AND y = 40', 'SELECT x, y FROM img WHERE v >= -0.12e0', _EIGHT)} SELECT CAST(x AS INTEGER) AS x, y FROM f",
+    "nearest_palette": f"WITH d AS (SELECT c_custkey, s_suppkey AS entry, abs(c_acctbal - s_acctbal) AS d FROM customer, supplier), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, entry) AS r FROM d) SELECT c_custkey, entry, {_r('d', 'distance', 6)} FROM r WHERE r = 1",
     "range_join": "WITH z AS (SELECT range + 0.5e0 AS z FROM range(0, 600000, 2500)) SELECT z, count(*) AS n FROM z JOIN orders ON z >= o_totalprice AND z <= o_totalprice * 1.02e0 GROUP BY z",
     "as_of_join": f"""WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1, 2)
         SELECT event_id, l.user_id AS user_id, {_r('value', 'value', 6)} FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""",
-    "bracketing_join": f"""WITH k AS (SELECT l_suppkey, l_quantity AS q, round(avg(l_extendedprice), 2) AS price FROM lineitem WHERE l_suppkey <= 20 AND l_quantity % 7 = 0 GROUP BY 1, 2), l AS (SELECT DISTINCT l_suppkey, l_quantity AS q FROM lineitem WHERE l_suppkey <= 20),
-        b AS (SELECT l.l_suppkey AS l_suppkey, l.q AS q, (SELECT max(k.q) FROM k WHERE k.l_suppkey = l.l_suppkey AND k.q <= l.q) AS lo, (SELECT min(k.q) FROM k WHERE k.l_suppkey = l.l_suppkey AND k.q >= l.q) AS hi FROM l)
-        SELECT b.l_suppkey AS l_suppkey, b.q AS q, {_r('coalesce(x.price + CASE WHEN hi > lo THEN (b.q - lo) / (hi - lo) ELSE 0.0e0 END * (y.price - x.price), x.price, y.price)', 'price', 1)} FROM b LEFT JOIN k x ON x.l_suppkey = b.l_suppkey AND x.q = lo LEFT JOIN k y ON y.l_suppkey = b.l_suppkey AND y.q = hi""",
+    "bracketing_join": f"""WITH k AS (SELECT l_suppkey, l_quantity AS q, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / count(*) / 100 AS price FROM lineitem GROUP BY 1, 2),
+        l AS (SELECT l_suppkey, q FROM (SELECT DISTINCT l_suppkey FROM k), (SELECT DISTINCT q FROM k)),
+        x AS (SELECT l.l_suppkey AS l_suppkey, l.q AS q, k.q AS lo, k.price AS plo FROM l ASOF LEFT JOIN k ON l.l_suppkey = k.l_suppkey AND l.q >= k.q),
+        b AS (SELECT x.l_suppkey AS l_suppkey, x.q AS q, lo, plo, k.q AS hi, k.price AS phi FROM x ASOF LEFT JOIN k ON x.l_suppkey = k.l_suppkey AND x.q <= k.q)
+        SELECT l_suppkey, q, {_r('coalesce(plo + CASE WHEN hi > lo THEN (q - lo) / (hi - lo) ELSE 0.0e0 END * (phi - plo), plo, phi)', 'price', 6)} FROM b""",
     "distance_join": f"WITH {_PTS} SELECT id, id2, {_r('d', 'd', 6)} FROM d WHERE d <= 2.0e0",
     "nearest_three": f"WITH {_PTS}, n AS (SELECT id, id2, round(d, 9) AS d FROM d WHERE d <= 4.0e0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY d, id2) AS INTEGER) AS rank FROM n) SELECT id, id2, {_r('d', 'd', 6)}, rank FROM r WHERE rank <= 3",
     "mask_difference": f"WITH {_IMG} SELECT y, count(*) AS n FROM img WHERE v > 0.1 AND NOT v > 0.2 GROUP BY y",
