@@ -1,22 +1,25 @@
-"""Facts from the text of abstracts: tags and flags as JVM regex columns; figures that need the position of matches in Arrow batches."""
+"""Facts from the text of abstracts, all as JVM column expressions.
+
+Spark has no function for where a pattern matches, only for what matches and what lies between: `occurrences` puts both
+together into an array of places, and the figures are array expressions over such places.
+"""
 
 from __future__ import annotations
 
-import re
-from functools import cache
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon
 
-#: How far from a keyword a percentage may stand, and a ratio before and after its outcome.
-NEAR, BEFORE, AFTER = 150, 200, 300
+#: Case-blind, with classes that know all scripts.
+FOLD = "(?iU)"
 
 
 def matches(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
+    return text.rlike(FOLD + "|".join(f"(?:{p})" for p in patterns))
 
 
 def tags(text: Column, entries: dict[str, list[str]], none: str) -> Column:
@@ -25,127 +28,111 @@ def tags(text: Column, entries: dict[str, list[str]], none: str) -> Column:
     return F.when(found == "", F.lit(none)).otherwise(found)
 
 
-@cache
-def _compiled(pattern: str, flags: int = re.IGNORECASE) -> re.Pattern:
-    return re.compile(pattern, flags)
-
-
-def _figure(pattern: str, text: str, flags: int = re.IGNORECASE):
-    return _compiled(pattern, flags).finditer(text)
-
-
-def nearest_percentage(text: str, keywords: list[str]) -> float | None:
-    """The percentage (0 to 100) that a response phrase ties to a keyword, starting nearest to it; the first of equals."""
-    low, best = text.lower(), None
-    units = "rate|response|remission"
-    for word in keywords:
-        forms = (  # fixed values: the phrases that tie a percentage to a response
-            rf"(?:{units}|ORR|CR|PR)\s*(?:was|of|reached|=|achieved)?\s*(\d+\.?\d*)\s*%",
-            rf"(\d+\.?\d*)\s*%\s*(?:{units}|ORR|CR|PR)",
-            rf"{word}\s*(?:was|of|reached|=|achieved|\(\s*)?(\d+\.?\d*)\s*%",
-            rf"(?:{units})\s*(?:was|of|=)?\s*(\d+\.?\d*)\s*%\s*\(\s*95",
-        )
-        for hit in _figure(word, low):
-            start = max(0, hit.start() - NEAR)
-            around = low[start : hit.start() + NEAR]
-            for k, form in enumerate(forms):
-                for m in _figure(form, around):
-                    # The first group is the figure, unless the keyword itself has groups.
-                    try:
-                        value = float(m.group(1))
-                    except (TypeError, ValueError):
-                        continue
-                    far = abs(start + m.start() - hit.start())
-                    if 0 <= value <= 100 and (best is None or far < best[0]):
-                        best = (far, value)
-    return best and best[1]
-
-
-def median_time(text: str, keywords: list[str], unit: str = "months") -> float | None:
+def occurrences(text: Column, pattern: str) -> Column:
+    """Places of a pattern (that never matches nothing) in order: structs of `at` (from 0) and `hit`, the matched text."""
+    hits = F.regexp_extract_all(text, F.lit(FOLD + pattern), F.lit(0))
+    gaps = F.transform(F.split(text, FOLD + pattern, -1), F.char_length)
+    walked = F.aggregate(
+        F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")),
+        F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,hit:string>>").alias("places")),
+        lambda seen, x: F.struct((seen["end"] + x["gap"] + F.char_length(x["hit"])).alias("end"), F.concat(seen["places"], F.array(F.struct((seen["end"] + x["gap"]).alias("at"), x["hit"].alias("hit")))).alias("places")),
+    )
+    return F.when(F.size(hits) > 0, walked["places"]).otherwise(F.array().cast("array<struct<at:int,hit:string>>"))
+
+
+def number(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract(text, FOLD + pattern, group).try_cast("double")
+
+
+def nearest_percentage(text: Column, words: list[str]) -> Column:
+    """The percentage (0 to 100) that a response phrase ties to a keyword, starting nearest to it; of equals the first by
+    keyword, place of the keyword, phrase and place of the phrase. Phrases are sought in a window round each keyword."""
+    low = F.lower(text)
+
+    def near(rank: int, word: str) -> Column:
+        def round_one(place: Column) -> Column:
+            start = F.greatest(F.lit(0), place["at"] - lexicon.NEAR)
+            window = F.substring(low, start + 1, place["at"] + lexicon.NEAR - start)
+
+            def of_phrase(k: int, phrase: str) -> Column:
+                return F.transform(occurrences(window, phrase), lambda m: F.struct(F.abs(start + m["at"] - place["at"]).alias("far"), F.lit(rank).alias("rank"), place["at"].alias("from"), F.lit(k).alias("phrase"), m["at"].alias("at"), number(m["hit"], phrase).alias("value")))
+
+            return F.flatten(F.array(*[of_phrase(k, p.replace("{word}", word)) for k, p in enumerate(lexicon.RESPONSE)]))
+
+        return F.flatten(F.transform(occurrences(low, word), round_one))
+
+    found = F.flatten(F.array(*[near(k, w) for k, w in enumerate(words)]))
+    return F.array_min(F.filter(found, lambda x: x["value"].between(0, 100)))["value"]
+
+
+def median_time(text: Column, words: list[str], unit: str = "months") -> Column:
     """The first median given in the unit within a keyword's sentence."""
-    low = text.lower()
-    for word in keywords:
-        for form in (rf"median[^.]*?{word}[^.]*?(\d+\.?\d*)\s*{unit}", rf"{word}[^.]*?median[^.]*?(\d+\.?\d*)\s*{unit}", rf"median[^.]*?(\d+\.?\d*)\s*{unit}[^.]*?{word}"):
-            m = _compiled(form, re.IGNORECASE | re.DOTALL).search(low)
-            if m:
-                return float(m.group(1))
-    return None
+    forms = [p.replace("{word}", w).replace("{unit}", unit) for w in words for p in lexicon.MEDIAN]
+    return F.coalesce(*[number(F.lower(text), "(?s)" + p) for p in forms])
 
 
 def sample_size(text: Column) -> Column:
     """The upper median of all plausible counts of patients (5 to 100,000)."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)) for p in lexicon.lines(lexicon.SAMPLE_SIZE)]))
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(FOLD + p), F.lit(1)) for p in lexicon.SAMPLE_SIZE]))
     numbers = F.array_sort(F.filter(F.transform(found, lambda s: s.try_cast("long")), lambda n: n.between(5, 100_000)))
     return F.when(F.size(numbers) > 0, F.element_at(numbers, F.floor(F.size(numbers) / 2).cast("int") + 1))
 
 
-def size_from_interval(text: str, percent: float | None) -> int | None:
-    """n whose 95 % interval would be as wide as the one given next to the percentage."""
-    if percent is None or not 0 < percent < 100:
-        return None
-    for m in _figure(r"(\d+\.?\d*)\s*%\s*\(\s*95%?\s*ci\s*(\d+\.?\d*)\s*(?:[-–]|to)\s*(\d+\.?\d*)\s*\)", text.lower()):
-        point, low, high = map(float, m.groups())
-        half = (high - low) / 2
-        if abs(point - percent) <= 5 and half >= 0.5:
-            n = round(1.96**2 * percent / 100 * (1 - percent / 100) / (half / 100) ** 2)
-            if 5 <= n <= 100_000:
-                return n
-    return None
+def size_from_interval(text: Column, percent: Column) -> Column:
+    """n whose 95 % interval would be as wide as the one given next to the percentage (of which it is within 5)."""
 
+    def sizes(pattern: str) -> Column:
+        return F.transform(occurrences(F.lower(text), pattern), lambda m: F.struct(*[number(m["hit"], pattern, g).alias(n) for g, n in enumerate(("point", "low", "high"), 1)]))
 
-def hazard_ratio(text: str, keywords: list[str]) -> tuple[float, float, float] | None:
-    """(ratio, low, high) near the first match of a keyword, if 0 < ratio < 10 and 0 < low < high < 10."""
-    low = text.lower()
-    number = r"(\d+\.?\d*)"
-    for word in keywords:
-        hit = _compiled(word).search(low)
-        if not hit:
-            continue
-        around = low[max(0, hit.start() - BEFORE) : hit.end() + AFTER]
-        for lead, label in (("hr", r"95%?\s*ci\s*"), (r"hazard\s*ratio", r"95%?\s*ci\s*"), ("hr", "")):
-            m = _compiled(rf"{lead}\s*=?\s*{number}\s*\(?\s*{label}{number}\s*[-–]\s*{number}").search(around)
-            if m:
-                ratio, a, b = map(float, m.groups())
-                if 0 < ratio < 10 and 0 < a < b < 10:
-                    return ratio, a, b
-    return None
+    share = percent / 100
+    n = lambda x: F.rint(F.lit(1.96**2) * share * (1 - share) / F.pow((x["high"] - x["low"]) / 200, F.lit(2.0)))
+    fits = F.filter(F.concat(*map(sizes, lexicon.INTERVAL)), lambda x: (F.abs(x["point"] - percent) <= 5) & ((x["high"] - x["low"]) / 2 >= 0.5))
+    found = F.filter(F.transform(fits, n), lambda x: x.between(5, 100_000))
+    return F.when((percent > 0) & (percent < 100), F.get(found, F.lit(0)).cast("long"))
 
 
-_FIGURES = "orr double, cr_rate double, pr_rate double, pfs_median double, os_median double, hr_pfs double, hr_pfs_ci_lower double, hr_pfs_ci_upper double, hr_os double, hr_os_ci_lower double, hr_os_ci_upper double, ci_size long"
+def hazard_ratio(text: Column, words: list[str]) -> Column:
+    """A struct (ratio, low, high) near the first match of a keyword, if 0 < ratio < 10 and 0 < low < high < 10."""
+    low = F.lower(text)
 
+    def of_word(word: str) -> list[Column]:
+        first = F.get(occurrences(low, word), F.lit(0))
+        start = F.greatest(F.lit(0), first["at"] - lexicon.BEFORE)
+        window = F.substring(low, start + 1, first["at"] + F.char_length(first["hit"]) + lexicon.AFTER - start)
 
-def _figures(text: pd.Series) -> pd.DataFrame:
-    """All figures of outcomes."""
-    words = lexicon.entries(lexicon.OUTCOMES)
+        def of_form(form: str) -> Column:
+            x, a, b = (number(window, form, g) for g in (1, 2, 3))
+            return F.when((x > 0) & (x < 10) & (a > 0) & (a < b) & (b < 10), F.struct(x.alias("ratio"), a.alias("low"), b.alias("high")))
 
-    def row(t: str) -> list:
-        percent = [nearest_percentage(t, words[k]) for k in ("ORR", "CR", "PR")]
-        sizes = [size_from_interval(t, p) for p in percent]
-        return [*(None if p is None else p / 100 for p in percent), median_time(t, words["PFS"]), median_time(t, words["OS"]), *(hazard_ratio(t, words["PFS"]) or (None,) * 3), *(hazard_ratio(t, words["OS"]) or (None,) * 3), next((s for s in sizes if s is not None), None)]
+        return [of_form(f) for f in lexicon.RATIO]
 
-    names = [x.split(" ")[0] for x in _FIGURES.split(", ")]
-    out = pd.DataFrame([row(t or "") for t in text], columns=names)
-    return out.astype({n: "float64" for n in names[:-1]} | {"ci_size": "Int64"})
+    return F.coalesce(*[c for w in words for c in of_word(w)])
 
 
-def figures(text: Column) -> Column:
-    """All figures of outcomes as one struct, in Arrow batches."""
-    return F.pandas_udf(_figures, _FIGURES)(text)
+def _steps(rows: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return reduce(lambda df, step: step(df), steps, rows)
 
 
 def study_table(articles: DataFrame) -> DataFrame:
     """Articles (title, abstract and any other columns) with tags, figures and flags; rows without an abstract are dropped."""
-    text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.col("abstract"))
+    text, words = F.col("_text"), lexicon.OUTCOMES
     low = F.lower(text)
-    rows = articles.where(F.length("abstract") > 0).withColumn("_f", figures(text))
-    study = tags(low, lexicon.entries(lexicon.STUDY_TYPES), "Unknown")
-    rows = rows.withColumns({
-        "subtypes": tags(low, lexicon.entries(lexicon.SUBTYPES), "Unspecified"), "drugs": tags(low, lexicon.entries(lexicon.THERAPIES), "Unspecified"),
-        "study_type": study, "adverse_events": tags(low, lexicon.entries(lexicon.ADVERSE), "Not reported"), "sample_size": F.coalesce(sample_size(text), F.col("_f.ci_size")),
-        **{n: F.col(f"_f.{n}") for n in (x.split(" ")[0] for x in _FIGURES.split(", ")) if n != "ci_size"},
-        **{k: matches(low, p) for k, p in lexicon.entries(lexicon.FLAGS).items()},
-    })
-    return rows.withColumns({"is_rct": F.col("study_type").contains("RCT"), "is_meta": F.col("study_type").contains("Meta-Analysis")}).drop("_f")
+    percents = {"orr": "ORR", "cr_rate": "CR", "pr_rate": "PR"}
+    ratios = {"hr_pfs": "PFS", "hr_os": "OS"}
+    return _steps(
+        articles.where(F.length("abstract") > 0).withColumn("_text", F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.col("abstract"))),
+        lambda df: df.withColumns({
+            "subtypes": tags(low, lexicon.SUBTYPES, "Unspecified"), "drugs": tags(low, lexicon.THERAPIES, "Unspecified"), "study_type": tags(low, lexicon.STUDY_TYPES, "Unknown"),
+            "adverse_events": tags(low, lexicon.ADVERSE, "Not reported"), "sample_size": sample_size(text), "pfs_median": median_time(text, words["PFS"]), "os_median": median_time(text, words["OS"]),
+            **{f"_{n}": nearest_percentage(text, words[k]) for n, k in percents.items()}, **{f"_{n}": hazard_ratio(text, words[k]) for n, k in ratios.items()},
+            **{k: matches(low, p) for k, p in lexicon.FLAGS.items()},
+        }),
+        lambda df: df.withColumns({
+            **{n: F.col(f"_{n}") / 100 for n in percents}, **{f"{n}{tail}": F.col(f"_{n}")[field] for n in ratios for tail, field in (("", "ratio"), ("_ci_lower", "low"), ("_ci_upper", "high"))},
+            "sample_size": F.coalesce("sample_size", *[size_from_interval(text, F.col(f"_{n}")) for n in percents]),
+            "is_rct": F.col("study_type").contains("RCT"), "is_meta": F.col("study_type").contains("Meta-Analysis"),
+        }).drop("_text", *[f"_{n}" for n in (*percents, *ratios)]),
+    )
 
 
 def has_efficacy(studies: DataFrame) -> DataFrame:

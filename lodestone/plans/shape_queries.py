@@ -81,7 +81,7 @@ def sirt(spark, sf_dir):
 def tagged_text(spark, sf_dir):
     """The lexicon's adverse events over all documents and conversations."""
     both = table(spark, sf_dir, "documents").select("text").union(table(spark, sf_dir, "conversations").select("text"))
-    return both.groupBy(extraction.tags(F.lower("text"), lexicon.entries(lexicon.ADVERSE), "Not reported").alias("tags")).agg(F.count("*").alias("n"))
+    return both.groupBy(extraction.tags(F.lower("text"), lexicon.ADVERSE, "Not reported").alias("tags")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -145,6 +145,6 @@ ORACLE_SQL = {
     "osem": f"WITH {_TOMO}, {_ONES}, {_em(0, 'WHERE angle % 2 = 0')}, {_em(1, 'WHERE angle % 2 = 1')} SELECT x, y, {_r('v', 'v', 6)} FROM i2",
     "sirt": f"WITH {_TOMO}, {_SIRT}, {_SIRT_STEP.format(0, 1)}, {_SIRT_STEP.format(1, 2)} SELECT x, y, {_r('v', 'v', 6)} FROM i2",
     "keyword_tags": "WITH t AS (SELECT lower(text) AS t FROM documents UNION ALL SELECT lower(text) FROM conversations), c AS (SELECT concat_ws('; ', {}) AS tags FROM t) SELECT CASE WHEN tags = '' THEN 'Not reported' ELSE tags END AS tags, count(*) AS n FROM c GROUP BY 1".format(
-        ", ".join(f"CASE WHEN regexp_matches(t, '(?i){'|'.join(f'(?:{x})' for x in p)}') THEN '{k}' END" for k, p in lexicon.entries(lexicon.ADVERSE).items())
+        ", ".join(f"CASE WHEN regexp_matches(t, '(?i){'|'.join(f'(?:{x})' for x in p)}') THEN '{k}' END" for k, p in lexicon.ADVERSE.items())
     ),
 }
