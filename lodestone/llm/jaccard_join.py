@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import bloom, common
-from .components import components
+from ..operators.components import stars as components
 
 REGION_ROWS, REGION_BYTES = 3_000, 24 << 20
 LEAF = 64
