@@ -7,9 +7,12 @@ content marginal is over one half keeps its text. All potentials are counted fro
 
 Blocks: every block element starts one; white space inside it, line breaks included, becomes one space.
 
+Formulas and drawings are read in line, as a sentence may go on after them.
+
 Defined results: null or empty html gives an empty text; broken markup is closed as browsers do for the elements that
-close each other; text outside any element belongs to the root; repeated pages are judged row by row; an empty table
-gives no rows; other columns are ignored.
+close each other, stray end tags are ignored, and only an unclosed script or style runs to the page's end; text outside
+any element belongs to the root; repeated pages are judged row by row; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +31,22 @@ from . import common, html_pages
 
 #: Elements by their part in HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-HIDDEN = RAW | frozenset("head button select option optgroup datalist object audio video canvas meta link base input".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+FOREIGN = frozenset("svg math".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split()) | FOREIGN
+HIDDEN = RAW | frozenset("head button select option optgroup datalist object audio video canvas meta link base input noscript template annotation annotation-xml desc metadata defs".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"}}
 SCOPE = frozenset("html body table td th ul ol dl article section main div nav aside footer header form".split())
+LIST_SCOPE = frozenset("ul ol dl table select".split())
+TABLE_SCOPE = frozenset("table td th caption".split())
+TABLE_PARTS = TABLE_SCOPE | frozenset("tr tbody thead tfoot".split())
 KINDS = {**dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), "heading"), **dict.fromkeys("ul ol dl menu dir".split(), "list"), **dict.fromkeys("li dt dd".split(), "item"), **dict.fromkeys("table tbody thead tfoot tr td th caption".split(), "table"), **dict.fromkeys("figure figcaption blockquote pre address details summary".split(), "quote"), **dict.fromkeys("article main section div p nav aside header footer form body html".split(), "")}
-#: A tag, a comment or another declaration; an unfinished one runs to the end.
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A tag, a comment or another declaration; an unfinished one runs to the end. Quotes only count right after "=".
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?)*+)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>][^\s=/>]*)\s*(?:=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"'][^\s>]*))?)?""")
+_NAMING = re.compile(r"class|id|role|data-y", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 #: Weight of evidence that siblings share (amounts of text, links of leaves), so that many of them don't count as many witnesses.
 TEMPER = 0.15
 #: With more siblings than this, they share that evidence's weight.
@@ -51,37 +60,48 @@ class Dom:
 
     def __init__(self, page: str, labels: bool = False) -> None:
         self.tags, self.parents, self.names, self.labels = ["html"], [-1], [()], [0]
+        #: Whether an element is shown, and whether it stands in a formula or drawing (which is read in line).
+        self.hidden, self.foreign = [False], [False]
         self.pieces: list[tuple[int, str | None]] = []
         self.keep_labels = labels
         self._read(page)
 
     def _open(self, tag: str, rest: str, parent: int) -> int:
         names, label = (), self.labels[parent]
-        if "=" in rest:
-            for m in _NAMES.finditer(rest):
+        if _NAMING.search(rest):
+            for m in _ATTRIBUTE.finditer(rest):
+                key = m[1].lower()
                 value = m[2] or m[3] or m[4] or ""
-                if m[1].lower() == "data-y":
+                if key == "data-y":
                     label = int(value) if self.keep_labels else label
-                else:
+                elif key in ("class", "id", "role"):
                     names += tuple(_PIECES.findall(value.lower()))
         self.tags.append(tag)
         self.parents.append(parent)
         self.names.append(names)
         self.labels.append(label)
+        self.hidden.append(tag in HIDDEN or self.hidden[parent])
+        self.foreign.append(tag in FOREIGN or self.foreign[parent])
         return len(self.tags) - 1
 
     def _read(self, page: str) -> None:
-        stack, at, low = [0], 0, None
-        pieces, tags = self.pieces, self.tags
+        stack, at, endless = [0], 0, set()
+        pieces, tags, foreign = self.pieces, self.tags, self.foreign
+        # The depths at which each tag is open, so that an end tag finds its element at once.
+        depths: dict[str, list[int]] = defaultdict(list)
+
+        def deepest(names: Iterable[str]) -> int:
+            return max((depths[t][-1] for t in names if depths.get(t)), default=0)
+
+        def cut(depth: int) -> None:
+            while len(stack) > depth:
+                depths[tags[stack.pop()]].pop()
 
         def close(names: Iterable[str], scope: frozenset) -> None:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in names:
-                    pieces.append((0, None))
-                    del stack[k:]
-                    return
-                if tags[stack[k]] in scope:
-                    return
+            depth = deepest(names)
+            if depth and depth >= deepest(scope):
+                pieces.append((0, None))
+                cut(depth)
 
         while True:
             m = _MARKUP.search(page, at)
@@ -94,14 +114,13 @@ class Dom:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if tag not in INLINE:
+                depth = depths[tag][-1] if depths.get(tag) else 0
+                if depth and depth < deepest(SCOPE if tag in INLINE else () if tag in TABLE_PARTS else TABLE_SCOPE):
+                    depth = 0
+                if (depth or tag == "p") and tag not in INLINE and not foreign[stack[-1]]:
                     pieces.append((0, None))
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == tag:
-                        del stack[k:]
-                        break
-                    if tag in INLINE and tags[stack[k]] in SCOPE:
-                        break
+                if depth:
+                    cut(depth)
                 continue
             if tag == "html":
                 if self.keep_labels and 'data-y="1"' in m[3]:
@@ -110,28 +129,33 @@ class Dom:
             if tag in CLOSES_P:
                 close(("p",), SCOPE)
             if tag in CLOSES:
-                close(CLOSES[tag], frozenset(("ul", "ol", "dl", "table", "select")))
+                close(CLOSES[tag], LIST_SCOPE)
             if tag == "br":
                 pieces.append((stack[-1], " "))
                 continue
-            if tag not in INLINE:
+            if tag not in INLINE and not foreign[stack[-1]]:
                 pieces.append((0, None))
             node = self._open(tag, m[3], stack[-1])
-            if tag in RAW and not m[3].endswith("/"):
-                low = page.lower() if low is None else low
-                end = low.find(f"</{tag}", at)
-                stop = low.find(">", end) if end >= 0 else -1
-                at = len(page) if end < 0 or stop < 0 else stop + 1
-            elif tag not in VOID:
+            if tag in RAW:
+                end = None if tag in endless else _RAW_END[tag].search(page, at)
+                if end is not None:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+                    if tag in ("script", "style"):
+                        at = len(page)
+            elif tag not in VOID and not (foreign[node] and m[3].endswith("/")):
+                depths[tag].append(len(stack))
                 stack.append(node)
         if at < len(page):
             pieces.append((stack[-1], page[at:]))
 
 
-def _kind(tag: str) -> str:
-    if tag in HIDDEN:
+def _kind(dom: Dom, i: int) -> str:
+    tag = dom.tags[i]
+    if dom.hidden[i]:
         return "hidden"
-    if tag in INLINE:
+    if tag in INLINE or dom.foreign[i]:
         return "inline"
     return KINDS.get(tag, "other") or tag
 
@@ -149,7 +173,7 @@ def evidence(dom: Dom) -> list[tuple[str, tuple[str, ...]]]:
     for i in range(1, n):
         in_link[i] = dom.tags[i] == "a" or in_link[dom.parents[i]]
     for i, text in dom.pieces:
-        if text is not None and dom.tags[i] not in HIDDEN:
+        if text is not None and not dom.hidden[i]:
             k = len(text) - text.count(" ")
             own[i] += k
             total[i] += k
@@ -159,11 +183,11 @@ def evidence(dom: Dom) -> list[tuple[str, tuple[str, ...]]]:
         p = dom.parents[i]
         total[p] += total[i]
         linked[p] += linked[i]
-        if dom.tags[i] in INLINE:
+        if dom.tags[i] in INLINE or dom.foreign[i]:
             own[p] += own[i]
     out = []
     for i in range(n):
-        kind = _kind(dom.tags[i])
+        kind = _kind(dom, i)
         seen = [f"name {w}" for w in dict.fromkeys(dom.names[i])] or ["bare"]
         if kind not in ("inline", "hidden"):
             seen.append(f"links {4 * linked[i] // total[i] if total[i] else 'none'}")
@@ -203,14 +227,14 @@ class Model:
 
     def marginals(self, dom: Dom) -> list[float]:
         """P(content) of each element, by sum-product."""
-        n, parents, tags = len(dom.tags), dom.parents, dom.tags
+        n, parents = len(dom.tags), dom.parents
         seen = evidence(dom)
         odds, pairs = [0.0] * n, [self.any_pair] * n
         kids = [0] * (n + 1)
         for p in parents:
             kids[p] += 1
         for i, (kind, what) in enumerate(seen):
-            if tags[i] in HIDDEN:
+            if dom.hidden[i]:
                 odds[i] = -30.0
                 continue
             crowd = SIBLINGS / max(SIBLINGS, kids[parents[i]])
@@ -255,7 +279,7 @@ class Model:
                     if block:
                         blocks.append(block)
                     held = []
-            elif keep[i] and dom.tags[i] not in HIDDEN:
+            elif keep[i] and not dom.hidden[i]:
                 held.append(entities.unescape(text) if "&" in text else text)
         return "\n".join(blocks)
 

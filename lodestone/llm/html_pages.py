@@ -55,8 +55,12 @@ class _Writer:
             out.append(f"<h1>{self.words(1, 9)}</h1>")
         for _ in range(r.randint(1, 9)):
             how = r.random()
-            if how < 0.76:
+            if how < 0.68:
                 out.append(self.paragraph())
+            elif how < 0.73:
+                out.append(f"<{(t := r.choice(['section', 'section', 'div']))}>{self.heading(0.8)}{''.join(self.paragraph() for _ in range(r.randint(1, 4)))}</{t}>")
+            elif how < 0.76:
+                out.append("<dl>" + "".join(f"<dt>{self.words(1, 3)}</dt><dd>{self.words(3, 20)}</dd>" for _ in range(r.randint(1, 4))) + "</dl>")
             elif how < 0.82:
                 out.append(f"<h{(n := r.randint(2, 4))}>{self.words(1, 7)}</h{n}>")
             elif how < 0.87:
@@ -139,8 +143,8 @@ class _Writer:
                 inside = self.words(2, 40) + inside
             boiler = "".join(r.sample(before + after, min(len(before + after), r.randint(0, 2))))
             return f'<html data-y="1"><body>{inside}{boiler}</body></html>' if r.random() < 0.5 else f'<html data-y="1">{inside}{boiler}'
-        if r.random() < 0.2:
-            main = f'<div class="{r.choice(["wrap", "container", "page", "row"])}">{main}</div>'
+        for _ in range(r.choice([0, 0, 0, 1, 1, 2])):
+            main = f'<div class="{r.choice(["wrap", "container", "page", "row"])}">{main}</div>' if r.random() < 0.5 else f"<div>{main}</div>"
         return f'<!DOCTYPE html><html><head><title>{self.words(1, 8)}</title><style>p{{margin:0}}</style><script>f("</p>");</script></head><body data-y="0">{"".join(before)}{main}{"".join(after)}</body></html>'
 
 
