@@ -21,31 +21,41 @@ def _bits(h: Column) -> list[Column]:
     return [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(h, F.lit(k)), F.lit(64)).cast("int")) for k in range(8)]
 
 
-def blocks_of(keys: DataFrame, h: Column, blocks: int) -> DataFrame:
-    """The blocks of the filter that have a bit set: _block and the words _w0 to _w7."""
-    rows = keys.select(F.pmod(h, F.lit(blocks)).alias("_block"), *[b.alias(f"_w{k}") for k, b in enumerate(_bits(h))])
-    return rows.groupBy("_block").agg(*[F.bit_or(f"_w{k}").alias(f"_w{k}") for k in range(8)])
+def blocks_of(keys: DataFrame, h: Column, blocks: int, at: str, words: list[str]) -> DataFrame:
+    """The blocks of the filter that have a bit set: where, and the eight words."""
+    rows = keys.select(F.pmod(h, F.lit(blocks)).alias(at), *[b.alias(w) for w, b in zip(words, _bits(h), strict=True)])
+    return rows.groupBy(at).agg(*[F.bit_or(w).alias(w) for w in words])
 
 
-def marked(df: DataFrame, h: Column, keys: DataFrame, key_h: Column) -> DataFrame:
-    """df with `_maybe`: false only for rows whose hash surely isn't among the keys' hashes."""
-    blocks = min(MAX_BLOCKS, max(1, -(-keys.count() // KEYS_A_BLOCK)))
-    found = df.withColumn("_block", F.pmod(h, F.lit(blocks))).join(F.broadcast(blocks_of(keys, key_h, blocks)), "_block", "left")
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def marked(df: DataFrame, h: Column, keys: DataFrame, key_h: Column, flag: str, blocks: int | None = None) -> DataFrame:
+    """df with the column `flag`: false only for rows whose hash surely isn't among the keys' hashes."""
+    blocks = blocks or min(MAX_BLOCKS, max(1, -(-keys.count() // KEYS_A_BLOCK)))
+    at, words = unused(df, "block"), [unused(df, f"w{k}") for k in range(8)]
+    found = df.withColumn(at, F.pmod(h, F.lit(blocks))).join(F.broadcast(blocks_of(keys, key_h, blocks, at, words)), at, "left")
     hit = F.lit(True)
-    for k, bit in enumerate(_bits(h)):
-        hit = hit & (F.col(f"_w{k}").bitwiseAND(bit) == bit)
-    return found.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_block", *[f"_w{k}" for k in range(8)])
+    for word, bit in zip(words, _bits(h), strict=True):
+        hit = hit & (F.col(word).bitwiseAND(bit) == bit)
+    return found.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(at, *words)
 
 
-def without_rows(docs: DataFrame, id_col: str, marks: DataFrame, marked_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def without_rows(docs: DataFrame, id_col: str, marks: DataFrame, marking: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The rows of docs, with their columns, less those that `marks` names: `gone` (an id or null), `mark` (what tells the
     rows of one id apart) and `stays` (whether one row of this id and mark stays, or none). Marks must hold each id and
-    mark that several rows have, so that any others are one row each. marked_rows() adds `_mark` to rows; rows whose
-    mark is null stay. Only rows whose id the filter can't clear are marked and shuffled."""
-    rows = marked(docs, F.xxhash64(F.col(id_col).cast("long")), marks, F.xxhash64("gone"))
-    possible = marked_rows(rows.where("_maybe").drop("_maybe"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    one = possible.where("_mark is not null").groupBy(F.col(id_col).cast("long").alias("_id"), "_mark").agg(F.first(whole).alias("_row"))
-    gone = marks.where("not stays")
-    left = one.join(gone, one["_id"].eqNullSafe(gone["gone"]) & (one["_mark"] == gone["mark"]), "left_anti").select("_row.*")
-    return rows.where("not _maybe").drop("_maybe").unionByName(possible.where("_mark is null").drop("_mark")).unionByName(left)
+    mark that several rows have, so that any others are one row each. marking(rows, name) adds the mark to rows under
+    that name; rows whose mark is null stay. Only rows whose id the filter can't clear are marked and shuffled."""
+    flag, mark = unused(docs, "maybe"), unused(docs, "mark")
+    rows = marked(docs, F.xxhash64(F.col(id_col).cast("long")), marks, F.xxhash64("gone"), flag)
+    possible = marking(rows.where(F.col(flag)).drop(flag), mark)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    one = possible.where(F.col(mark).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"), F.col(mark).alias("mark")).agg(F.first(whole).alias("row"))
+    gone = marks.where("not stays").select("gone", F.col("mark").alias("of"))
+    left = one.join(gone, one["id"].eqNullSafe(gone["gone"]) & (one["mark"] == gone["of"]), "left_anti").select("row.*")
+    return rows.where(~F.col(flag)).drop(flag).unionByName(possible.where(F.col(mark).isNull()).drop(mark)).unionByName(left)

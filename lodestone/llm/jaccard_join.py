@@ -292,7 +292,6 @@ def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFra
     prefixes = texts.mapInArrow(_prefixes(size, percent, last), "s long, node long")
     shared = prefixes.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("s", "pivot")
     regions = common.materialize(prefixes.join(shared, "s").select("node", "pivot").distinct())
-    common.sweep(base.sparkSession)
     first = common.materialize(nodes.groupBy("node").agg(F.min(F.struct("id", "len", "crc")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "n", "sketch", "x.*"))
     classes = common.materialize(_classes(regions.join(first.select("node", "n"), "node"), percent))
     compared = _blocks(classes.join(first.select("node", "sketch"), "node"), ["pivot", "k"], F.octet_length("sketch"))
@@ -300,7 +299,7 @@ def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFra
     members = groups.union(groups.select("root", "root").distinct()).join(first.drop("sketch"), "node")
     tasks = common.materialize(_blocks(members, ["root"], F.col("len")).groupBy("node", "id", "len", "crc").agg(F.collect_list("task").alias("tasks")))
     key = F.xxhash64("id", "len", "crc")
-    maybe = bloom.marked(base, key, tasks, key).where("_maybe")
+    maybe = bloom.marked(base, key, tasks, key, "maybe").where("maybe")
     same = [maybe[c].eqNullSafe(tasks[c]) for c in ("id", "len", "crc")]
     sent = maybe.join(tasks, same).select("node", F.explode("tasks").alias("task"), "text")
     return sent.groupBy("task").applyInArrow(_join_block(size, percent), "a long, b long")
@@ -327,8 +326,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return linked.select("id", "n_shingles", "component_id").unionByName(bare.select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
-def _marked(size: int, text_col: str):
-    """Adds `_mark`, the node of the row's text; null if it has no shingles."""
+def _marked(size: int, text_col: str, name: str):
+    """Adds the node of the row's text; null if it has no shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
@@ -336,7 +335,7 @@ def _marked(size: int, text_col: str):
             for k in range(0, batch.num_rows, 512):
                 piece = batch.slice(k, 512)
                 sets = (shingler.set_of(t) for t in piece.column(piece.schema.get_field_index(text_col)).to_pylist())
-                yield piece.append_column("_mark", pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()))
+                yield piece.append_column(name, pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()))
 
     return run
 
@@ -348,7 +347,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
     stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("keep_node"))
     found = linked.groupBy(F.col("id").alias("gone"), F.col("node").alias("mark")).agg(F.bool_and(stays).alias("stays"), F.count("*").alias("n"))
     marks = common.materialize(found.where("not stays or n > 1").drop("n"))
-    return bloom.without_rows(docs, id_col, marks, lambda rows: rows.mapInArrow(_marked(size, text_col), StructType([*rows.schema.fields, StructField("_mark", LongType())])))
+    return bloom.without_rows(docs, id_col, marks, lambda rows, name: rows.mapInArrow(_marked(size, text_col, name), StructType([*rows.schema.fields, StructField(name, LongType())])))
 
 
 def brute_force(rows: list[tuple[int, str | None]], size: int = 5, percent: int = 80) -> list[tuple[int, int, int]]:

@@ -5,8 +5,9 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.llm import html_extract, html_pages, queries, urls
+from lodestone.llm import bloom, html_extract, html_pages, queries, urls
 
 TITLE, ONE, TWO = "A title", "The first paragraph of the text, which is rather long so that it looks like one.", "And then a second one follows, with a link in it, for good measure."
 ARTICLE = f"<h1>{TITLE}</h1><p>{ONE}</p><p>And then a second one\n follows,<br>with <a href=x>a link</a> in it, for good measure.</p>"
@@ -157,3 +158,15 @@ def test_url_rules(spark):
     assert got[len(cases)] == ("", "", None, "allow")
     assert urls.judge(pages, listed.limit(0), queries.URL_RULES).where("listed").count() == 0
     assert urls.judge(pages.limit(0), listed, queries.URL_RULES).count() == 0
+
+
+def test_the_exact_join_removes_what_a_full_filter_lets_through(spark):
+    """A filter of one block for 500 keys lets nearly every row through; columns named like the filter's own stay."""
+    pages = spark.createDataFrame([(k, f"p{k}.org/", k, -k, "a") for k in range(400)], "page_id long, canon string, block int, w0 int, maybe string")
+    listed = spark.createDataFrame([(f"p{k}.org/",) for k in range(0, 50)] + [(f"q{k}.net/",) for k in range(450)], "canon string")
+    key = F.xxhash64("canon")
+    passed = bloom.marked(pages, key, listed, key, "flag", blocks=1).where("flag").count()
+    assert passed > 100
+    got = urls.listed_hits(pages, listed, blocks=1)
+    assert got.columns == [*pages.columns, "listed"]
+    assert sorted(tuple(r) for r in got.collect()) == [(k, f"p{k}.org/", k, -k, "a", k < 50) for k in range(400)]

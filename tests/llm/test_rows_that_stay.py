@@ -22,6 +22,21 @@ def test_exact_copies(spark, frame):
     assert got.columns == docs.columns
     assert pairs(got) == Counter([(None, None), (1, "a  b"), (1, "c"), (None, "n"), (None, "only"), (2, "alone"), (3, "x y"), (4, "z")])
     assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
+    named = docs.selectExpr("doc_id", "text", "source as maybe", "1 as mark", "2 as block", "3 as w0", "4 as `row`", "5 as id", "6 as gone")
+    assert exact_dedup.drop_copies(named).columns == named.columns and pairs(exact_dedup.drop_copies(named)) == pairs(got)
+
+
+def test_groups_cut_between_ranges(spark, frame):
+    """Groups of hundreds of copies over more ranges than groups; texts that only differ far behind the splitters' prefix."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        rows = [(k, f"{'same start ' * 20}{k % 3}") for k in range(900)] + [(2000 + k, f"alone {k}") for k in range(50)]
+        got = exact_dedup.exact_dedup(frame(rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all((r["keep_id"], r["group_size"], r["kept"]) == ((r["id"] % 3, 300, r["id"] < 3) if r["id"] < 900 else (r["id"], 1, True)) for r in got) and len(got) == 950
 
 
 def test_contaminated_rows(spark, frame, monkeypatch):
