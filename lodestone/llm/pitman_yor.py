@@ -40,7 +40,7 @@ from .mail import Letter, letter, pack
 from .toxicity import in_fold
 
 #: Bytes of text in a block, and that make a part or a shelf.
-BLOCK_BYTES, PART_BYTES = 24 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 16 << 20, 16 << 20
 #: Burn-in sweeps, sweeps averaged.
 BURN_IN, SAMPLES = 2, 2
 #: Strength of a context's restaurant and of the corpus's; both discounts are one half (see seat()).
@@ -171,7 +171,7 @@ def _deal(blocks: int) -> Callable:
 
     def write(block: int, rows: list[pa.Table]) -> tuple:
         out = io.BytesIO()
-        with pa.ipc.new_stream(out, kinds, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        with pa.ipc.new_stream(out, kinds, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as to:
             to.write_table(pa.concat_tables(rows).cast(kinds).combine_chunks())
         return letter(block, "docs", 0, out.getvalue())
 
@@ -204,27 +204,34 @@ class Block:
     def __init__(self, docs: list[Letter], layout: Layout) -> None:
         self.layout = layout
         ids, learns, tokens = [], [], []
-        for x in docs:
-            for b in pa.ipc.open_stream(x.blob):
+        while docs:
+            for b in pa.ipc.open_stream(docs.pop().blob):
                 for i, text, on in common.rows_of([b], "id", "text", "learns"):
                     ids.append(i)
                     learns.append(bool(on))
                     tokens.append(read_tokens(text))
         self.ids, self.learns = ids, np.array(learns, bool)
         self.sizes = np.array([len(x) for x in tokens], np.int64)
-        w = np.concatenate(tokens)
-        del tokens
         self.first = starts_of(self.sizes)
-        self.words, word = np.unique(np.append(w, START), return_inverse=True)  # the start stands first
-        self.word = word[:-1].astype(np.int64)
-        before = np.empty(len(w), np.int64)
-        before[1:] = self.word[:-1]
-        before[self.first] = 0
-        code, self.pair = np.unique(before * len(self.words) + self.word, return_inverse=True)
-        self.u, self.w = code // len(self.words), code % len(self.words)
-        del code, before, w
-        self.to = layout.part(self.words[self.u], self.words[self.w])
-        self.order = np.argsort(self.to, kind="stable")
+        tokens.append(np.array([START], U64))
+        w = np.concatenate(tokens)
+        tokens.clear()
+        self.words, word = np.unique(w, return_inverse=True)  # the start stands first
+        del w
+        self.word = word[:-1].astype(np.int32)
+        del word
+        code = np.empty(len(self.word), np.int64)
+        code[1:] = self.word[:-1]
+        code[self.first] = 0
+        code *= len(self.words)
+        code += self.word
+        code, pair = np.unique(code, return_inverse=True)
+        self.pair = pair.astype(np.int32)
+        del pair
+        self.u, self.w = (code // len(self.words)).astype(np.int32), (code % len(self.words)).astype(np.int32)
+        del code
+        self.to = layout.part(self.words[self.u], self.words[self.w]).astype(np.int32)
+        self.order = np.argsort(self.to, kind="stable").astype(np.int32)
 
     def ask(self, key: int) -> Iterator[tuple]:
         learns = np.repeat(self.learns, self.sizes)
