@@ -4,11 +4,13 @@ The lexicon's terms are whole words and word stems whose documents are toxic far
 (a likelihood-ratio test). The Levenshtein automata of all terms are intersected with the lexicon's trie and
 determinised as words pass: a state is the set of (trie node, edits used), its moves are remembered, and a word is
 dropped as soon as no term can be reached. So misspelled terms are caught at a few table look-ups for each new word.
-Each hit is scored in its context window: other hits near it, and marks and words of quotation around it. A logistic
-model of those scores, fitted on the same labelled rows, separates quotation from abuse.
+Each hit is scored in its context window: other hits near it, marks of quotation around it, and cues before it, words
+that stand before terms in harmless documents far more often than in toxic ones. A logistic model of those scores,
+fitted on the same labelled rows, separates quotation from abuse.
 
-Bounds: the labelled rows used (`max_labelled`, chosen by hash of the id) and the lexicon (`max_terms`) are the only
-ones; every document is scored over its whole text.
+Bound: the labelled rows used (`max_labelled`, chosen by hash of the id; of near copies, which would make all their
+words look telling, one) are the only one; the lexicon holds all terms that pass the test, and every document is scored
+over its whole text.
 
 Defined results: a null text counts as empty and is scored as such; without usable labels of both kinds all scores are
 the share of toxic labels (0 without labels); labels with null id or null value are left out; rows that repeat an id
@@ -28,15 +30,21 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_LABELLED, MAX_TERMS = 20_000, 2_000
-STEMS = range(3, 9)
-MIN_GAIN = 14.0
+MAX_LABELLED = 20_000
+#: Letters that a stem has at least.
+STEM = 3
+#: By how much a term's log likelihood ratio must beat the logarithm of the number of terms tried.
+MIN_GAIN = 6.0
+#: Share of toxic texts among those that a stem has beyond its commonest longer form.
+PURE = 0.95
+#: Words in a run, and how many of the runs' smallest hashes tell near copies.
+RUN, SKETCH = 3, 4
 EDIT_LENGTH = 5
 WINDOW = 12
 WORD = re.compile(r"\w+")
-#: Marks and words of quotation (fixed values).
+#: Marks of quotation (fixed values).
 QUOTE_MARKS = "\"“”„«»"
-QUOTE_WORDS = frozenset("said says quote quoted quotes quoting called wrote told reported according alleged term word words phrase insult slur".split())
+#: The last four are of exact hits.
 FEATURES = ("exact words", "exact stems", "misspelt words", "misspelt stems", "densest window", "hits a word", "quoted share", "distinct terms")
 
 
@@ -144,10 +152,16 @@ class _Codes(dict):
 class Reader:
     """Features of texts."""
 
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
-        self.lexicon = Lexicon(terms)
+    def __init__(self, terms: list[tuple[str, bool]], cues: Iterable[str] = ()) -> None:
+        self.lexicon, self.cues = Lexicon(terms), frozenset(cues)
         self.codes = _Codes(self.lexicon)
 
+    def before_hits(self, text: str | None) -> set[str]:
+        """Words without a hit that stand shortly before one."""
+        words = WORD.findall(text.lower()) if text else []
+        at = [i for i, w in enumerate(words) if self.codes[w]]
+        return {w for i in at for w in words[max(0, i - WINDOW // 2) : i] if not self.codes[w]}
+
     def features(self, text: str | None) -> list[float]:
         words = WORD.findall(text.lower()) if text else []
         code = np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
@@ -157,17 +171,19 @@ class Reader:
         name = {v: k for k, v in self.codes.hits.items()}
         hits = [name[c] for c in code[at].tolist()]
         kinds = Counter((e, self.lexicon.terms[t][1]) for e, t in hits)
+        at = at[[e == 0 for e, _ in hits]]
+        if not len(at):
+            return [0.0, 0.0, *(float(np.log1p(kinds[1, stem])) for stem in (False, True)), 0.0, 0.0, 0.0, 0.0]
         near = np.searchsorted(at, at + WINDOW, "right") - np.arange(len(at))
         quoted = self._quoted(text, words, at)
         return [
             *(float(np.log1p(kinds[k])) for k in ((0, False), (0, True), (1, False), (1, True))),
-            float(np.log(near.max())), len(at) / len(words), float(quoted.mean()), float(np.log(len({t for _, t in hits}))),
+            float(np.log(near.max())), len(at) / len(words), float(quoted.mean()), float(np.log(len({t for e, t in hits if e == 0}))),
         ]
 
-    @staticmethod
-    def _quoted(text: str, words: list[str], at: np.ndarray) -> np.ndarray:
-        """Whether each hit stands between marks of quotation or shortly after a word of quotation."""
-        said = np.cumsum([w in QUOTE_WORDS for w in words])
+    def _quoted(self, text: str, words: list[str], at: np.ndarray) -> np.ndarray:
+        """Whether each hit stands between marks of quotation or shortly after a cue."""
+        said = np.cumsum([w in self.cues for w in words])
         out = said[at] - said[np.maximum(at - WINDOW // 2, 0)] > 0
         low = text.lower()
         if any(m in low for m in QUOTE_MARKS):
@@ -184,48 +200,101 @@ def in_fold(id_: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each kind with each term; '=' marks whole words."""
+def _counts(terms_of):
+    """A mapInArrow function: how many texts of each kind have each term that terms_of()(text) gives."""
     schema = pa.schema([("term", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
-    pos, neg = Counter(), Counter()
-
-    def flush():
-        terms = list(pos | neg)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([pos[t] for t in terms], pa.int64()), pa.array([neg[t] for t in terms], pa.int64())], schema=schema)
-        pos.clear()
-        neg.clear()
-
-    for text, toxic in common.rows_of(batches, "text", "toxic"):
-        words = set(WORD.findall(text.lower())) if text else set()
-        terms = {"=" + w for w in words if len(w) <= 40} | {w[:k] for w in words for k in STEMS if len(w) > k}
-        (pos if toxic else neg).update(terms)
-        if len(pos) + len(neg) > 400_000:
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos, neg, read = Counter(), Counter(), terms_of()
+
+        def flush():
+            terms = list(pos | neg)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([pos[t] for t in terms], pa.int64()), pa.array([neg[t] for t in terms], pa.int64())], schema=schema)
+            pos.clear()
+            neg.clear()
+
+        for text, toxic in common.rows_of(batches, "text", "toxic"):
+            (pos if toxic else neg).update(read(text))
+            if len(pos) + len(neg) > 400_000:
+                yield from flush()
+        if pos or neg:
             yield from flush()
-    if pos or neg:
-        yield from flush()
+
+    return run
+
+
+def words_and_stems(text: str | None) -> set[str]:
+    """'=' marks whole words."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    return {"=" + w for w in words} | {w[:k] for w in words for k in range(STEM, len(w))}
+
+
+def telling(rows: DataFrame, terms_of, share: float, kind: str) -> list[tuple[str, int, int]]:
+    """(term, toxic texts, others) of the terms whose texts are of a kind ("pos" or "neg", which a share of all texts is)
+    far more often than chance would have it."""
+    counts = rows.mapInArrow(_counts(terms_of), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = common.materialize(counts)
+    least = MIN_GAIN + float(np.log(max(1, counts.count())))
+    own, other = F.col(kind), F.col("neg" if kind == "pos" else "pos")
+    rate = own / (own + other)
+    gain = own * F.log(rate / share) + F.when(other > 0, other * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    best = counts.where((own > 1) & (rate > max(0.5, share))).where(gain > least).orderBy(gain.desc(), "term")
+    found = [(r["term"], r["pos"], r["neg"]) for r in best.collect()]
+    common.release(counts)
+    return found
+
+
+def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic, s0, s1 ..): the smallest of SKETCH hashes over the runs of words."""
+    schema = pa.schema([("text", pa.string()), ("toxic", pa.int32()), *[(f"s{k}", pa.int64()) for k in range(SKETCH)]])
+    rolling = common.Rolling()
+
+    def row(text: str | None, toxic: int) -> tuple:
+        prefix = rolling.prefix(common.hashed_words(text.lower().encode())[0] if text else np.zeros(0, np.uint64))
+        runs = rolling.windows(prefix, min(RUN, len(prefix) - 1)) if len(prefix) > 1 else np.zeros(1, np.uint64)
+        return text, toxic, *(int(common.signed(common.mix(runs ^ np.uint64(common.MIX_B * (k + 1) & common.MASK)).min(keepdims=True))[0]) for k in range(SKETCH))
+
+    return common.row_batches((row(*r) for r in common.rows_of(batches, "text", "toxic")), schema, 500)
+
+
+def without_near_copies(rows: DataFrame) -> DataFrame:
+    """One of the texts of each kind that share the smallest hash of their runs, for each hash in turn."""
+    rows = rows.mapInArrow(_sketched, "text string, toxic int, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
+    names = rows.columns
+    for k in range(SKETCH):
+        rows = rows.groupBy(f"s{k}", "toxic").agg(F.min(F.struct("text", *[f"s{j}" for j in range(SKETCH)])).alias("x")).select("toxic", "x.text", *[f"x.s{j}" for j in range(SKETCH)]).select(*names)
+    return rows.select("text", "toxic")
 
 
 def choose_terms(found: list[tuple[str, int, int]]) -> list[tuple[str, bool]]:
-    """Of (term, toxic documents, others): the longest stems or words that keep the support of a stem, each once."""
+    """Of (term, toxic texts, others): words, and stems instead of the terms that start with them where a stem's further
+    texts are nearly all toxic too; each once."""
     support = {(t.lstrip("=") if t[0] == "=" else t, t[0] != "="): (p, n) for t, p, n in found}
     by_letters: dict[str, list] = {}
     for (letters, stem), (p, n) in support.items():
         for k in range(1, len(letters) + 1):
             by_letters.setdefault(letters[:k], []).append((letters, stem, p, n))
     kept: list[tuple[str, bool]] = []
-    for (letters, stem), (p, _) in sorted(support.items(), key=lambda x: (len(x[0][0]), not x[0][1], x[0][0])):
-        longer = stem and any(q >= 0.9 * p for other, s, q, _ in by_letters[letters] if (len(other) > len(letters)) or (other == letters and not s))
-        if longer or any(s and letters.startswith(k) for k, s in kept):
+    for (letters, stem), (p, n) in sorted(support.items(), key=lambda x: (len(x[0][0]), not x[0][1], x[0][0])):
+        if any(s and letters.startswith(k) for k, s in kept):
             continue
+        longer = [(q, -m) for other, s, q, m in by_letters[letters] if len(other) > len(letters) or (stem and not s)] if stem else []
+        if longer:
+            q, m = max(longer)
+            if q >= 0.9 * p or p - q < PURE * (p - q + n + m):
+                continue
         kept.append((letters, stem))
     return kept
 
 
 class Model:
-    """Terms, the weights of the features, and the share of toxic labels for want of both kinds."""
+    """Terms, cues, the weights of the features, and the share of toxic labels for want of both kinds."""
+
+    def __init__(self, terms: list[tuple[str, bool]], cues: list[str], weights: np.ndarray | None, share: float) -> None:
+        self.terms, self.cues, self.weights, self.share = terms, cues, weights, share
 
-    def __init__(self, terms: list[tuple[str, bool]], weights: np.ndarray | None, share: float) -> None:
-        self.terms, self.weights, self.share = terms, weights, share
+    def reader(self) -> Reader:
+        return Reader(self.terms, self.cues)
 
     def score(self, features: list[float]) -> float:
         if self.weights is None:
@@ -249,31 +318,29 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from the labelled rows given; at most about max_labelled of them, chosen by hash of the id."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
     total = usable.count()
     if total > max_labelled:
         usable = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_labelled / total)))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = common.materialize(base.join(F.broadcast(usable), "id").select("text", "toxic"))
+    rows = common.materialize(without_near_copies(base.join(F.broadcast(usable), "id").select("text", "toxic")))
     n, p = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < p < n:
-        return Model([], None, p / n if n else 0.0)
-    share = p / n
-    counts = rows.mapInArrow(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    rate = F.col("pos") / (F.col("pos") + F.col("neg"))
-    gain = F.col("pos") * F.log(rate / share) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - rate) / (1 - share))).otherwise(0.0)
-    best = counts.where((F.col("pos") > 1) & (rate > max(0.5, share))).where(gain > MIN_GAIN).orderBy(gain.desc(), "term").limit(max_terms).collect()
-    terms = choose_terms([(r["term"], r["pos"], r["neg"]) for r in best])
+        common.release(rows)
+        return Model([], [], None, p / n if n else 0.0)
+    terms = choose_terms(telling(rows, lambda: words_and_stems, p / n, "pos"))
+    cues = [t for t, _, _ in telling(rows, lambda: Reader(terms).before_hits, 1 - p / n, "neg")] if terms else []
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(terms)
+        reader = Reader(terms, cues)
         schema = pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
         return common.row_batches(((y, reader.features(t)) for t, y in common.rows_of(batches, "text", "toxic")), schema)
 
     got = rows.mapInArrow(read, "toxic int, x array<double>").toPandas()
-    return Model(terms, fit_weights(np.array(got["x"].tolist()), got["toxic"].to_numpy(float)), share)
+    common.release(rows)
+    return Model(terms, cues, fit_weights(np.array(got["x"].tolist()), got["toxic"].to_numpy(float)), p / n)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,7 +350,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        reader = Reader(model.terms)
+        reader = model.reader()
         return common.row_batches(((i, model.score(reader.features(t))) for i, t in common.rows_of(batches, "id", "text")), schema)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
@@ -295,7 +362,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
 
     def keep():
         model = held.value
-        reader = Reader(model.terms)
+        reader = model.reader()
         return lambda text: model.score(reader.features(text)) < threshold
 
     return common.kept_rows(docs, text_col, keep)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, exact_dedup, jaccard_join, queries, sharding, substring_dedup, toxicity
+from lodestone.llm import bpe, common, decontaminate, exact_dedup, jaccard_join, queries, sharding, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, sha string, node string, shard string, key string, part string"
 
@@ -199,6 +199,31 @@ def test_jump_is_even_and_stable():
     assert np.bincount(a).min() > 2000 and np.bincount(a).max() < 3000
     assert ((a == b) | (b == 40)).all() and 0.015 < (a != b).mean() < 0.035
 
+    def plain(key, shards):
+        shard, after = -1, 0
+        while after < shards:
+            shard = after
+            key = (key * sharding.LCG + 1) % 2**64
+            after = int((shard + 1) * (2**31 / ((key >> 33) + 1)))
+        return shard
+
+    some = common.mix(np.arange(3000).astype(np.uint64))
+    for shards in (1, 2, 40, 41, 1000):
+        assert sharding.jump(some, shards).tolist() == [plain(int(k), shards) for k in some]
+
+
+def test_slots_of_a_key_with_most_rows(spark):
+    """Two thirds of the rows have one key or none, in equal rows."""
+    docs = spark.createDataFrame([(7 if k % 3 == 0 else None if k % 3 == 1 else k, "same") for k in range(6000)], "doc_id long, text string").selectExpr("*", "1 as shard", "2 as slot", "3 as `range`")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sharding.shard_rows(docs.repartition(5), 4).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 6000 and got[got["id"] == 7]["shard"].nunique() == 1
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
 
 def test_levenshtein_automaton():
     def edits(a, b):  # optimal string alignment distance
@@ -254,6 +279,45 @@ def test_quotation_counts_as_context():
     at = toxicity.FEATURES.index("quoted share")
     assert r.features('she said "what an idiot" aloud')[at] == 1.0
     assert r.features("what an idiot you are")[at] == 0.0
+    cued = toxicity.Reader([("idiot", False)], ["reportedly"])
+    assert cued.features("he was reportedly an idiot then")[at] == 1.0 and r.features("he was reportedly an idiot then")[at] == 0.0
+
+
+def test_cues_are_learnt(spark):
+    """Harmless texts have a term too, but after words that toxic ones don't have."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(1200):
+        w = words(rng, 30)
+        if k % 3 == 0:
+            w[10] = "scumbag"
+        elif k % 20 == 1:
+            w[8:11] = ["zitiert", "als", "scumbag"]
+        rows.append((k, " ".join(w), int(k % 3 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(d.drop("toxic"), d.where("doc_id % 4 > 0").select("doc_id", "toxic"))
+    assert "zitiert" in model.cues
+    got = {r["id"]: r["score"] >= 0.5 for r in toxicity.score(d, model).collect()}
+    assert sum(got[k] == bool(t) for k, _, t in rows) >= 1190
+
+
+def test_near_copies_do_not_make_terms(spark):
+    """Forty near copies of one toxic text, and a term that toxic texts share."""
+    rng = random.Random(9)
+    base = [f"rare{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[: 10 + k % 5], f"edit{k}", *base[15:], "scumbag"]), 1) for k in range(40)]
+    rows += [(100 + k, " ".join([*words(rng, 30), "scumbag"]), 1) for k in range(60)] + [(300 + k, " ".join(words(rng, 30)), 0) for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(d.drop("toxic"), d.select("doc_id", "toxic"))
+    assert [t for t, _ in model.terms] == ["scumbag"] or all("scumbag".startswith(t) for t, _ in model.terms)
+
+
+def test_labels_of_repeated_ids(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "c d"), (None, "e"), (2, None), (2, None), (3, "x " * 60_000)], "doc_id long, text string")
+    d = d.selectExpr("*", "1 as toxic", "2 as score", "3 as id")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels)
+    assert toxicity.score(d, model).count() == 6 and toxicity.drop_toxic(d, model).columns == d.columns
 
 
 def test_hashing_is_the_same_in_pieces(monkeypatch):

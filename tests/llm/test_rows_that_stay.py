@@ -50,6 +50,9 @@ def test_contaminated_rows(spark, frame, monkeypatch):
         got = decontaminate.drop_contaminated(docs, bench, size=5)
         assert got.columns == docs.columns and pairs(got) == want
     assert decontaminate.drop_contaminated(docs, bench.limit(0), size=5).count() == len(rows)
+    named = docs.withColumnsRenamed({"source": "spans"}).selectExpr("*", "1 as items", "2 as id")
+    assert decontaminate.drop_contaminated(named, bench, size=5).columns == named.columns
+    assert pairs(decontaminate.drop_contaminated(named, bench, size=5)) == want
 
 
 def test_hits_of_all_blocks_count_together(spark, frame, monkeypatch):
