@@ -5,8 +5,9 @@ Words are runs of ASCII letters and digits and of all characters beyond ASCII, A
 Training texts are scanned in token windows: a word that no item has breaks a window at once, the others are found by
 rolling hash in the sorted keys, and each hit is verified word for word.
 
-The set is broadcast in blocks of at most BLOCK_WORDS benchmark words; a larger benchmark is scanned block after block,
-each adding its hits to the rows of the one before, so that any size gives whole results.
+The set is broadcast in blocks of about BLOCK_WORDS benchmark words (one item more at most). The driver reads a larger
+benchmark block after block and holds one at a time; each scan adds its block's hits to the saved rows of the one
+before, so that any size gives whole results. Python workers keep the index of the last block between tasks.
 
 Defined results: null and empty texts have no words and no hits; benchmark rows with null id or text are left out;
 items that share an id count once; repeated documents are judged row by row; empty tables give no rows or no hits.
@@ -15,15 +16,16 @@ items that share an id count once; repeated documents are judged row by row; emp
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common
 
 BLOCK_WORDS = 500_000
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -103,35 +105,67 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield held
 
 
-_SPAN = "id long, text string, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
-_SCHEMA = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
+_INDEX: dict[str, Windows] = {}
+
+
+def _index(key: str, block, size: int) -> Windows:
+    """The windows of a block, made once by each worker."""
+    if key not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key] = Windows(block.value, size)
+    return _INDEX[key]
 
 
-def _scanner(block, size: int, last: bool, keep_text: bool):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Windows(block.value, size)
+def _scanned(rows: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, scan: Callable[[Callable[[], Windows], bool], Callable], size: int) -> DataFrame:
+    """rows after a scan by each block; scan(index, last) gives the mapInArrow function of a block."""
+    sc, saved = rows.sparkSession.sparkContext, None
 
-        def row(id_, text, _, spans, items):
-            w = words(text)
-            new, who = index.hits(w)
-            both = merged([(s["a"], s["b"]) for s in spans] + new)
-            return id_, None if last and not keep_text else text, len(w), [{"a": a, "b": b} for a, b in both], sorted(who.union(items))
+    def scanner(block: list[tuple[str, str]], last: bool):
+        key, held = uuid.uuid4().hex, sc.broadcast(block)
+        return held, scan(lambda: _index(key, held, size), last)
 
-        return common.row_batches((row(*r) for r in common.rows_of(batches, *_SCHEMA.names)), _SCHEMA, 500)
+    blocks = _blocks(benchmark, id_col, text_col)
+    block = next(blocks, [])
+    for after in blocks:
+        held, step = scanner(block, False)
+        rows = common.materialize(rows.mapInArrow(step, rows.schema))
+        held.unpersist()
+        if saved is not None:
+            common.release(saved)
+        saved, block = rows, after
+    return rows.mapInArrow(scanner(block, True)[1], rows.schema)
 
-    return run
+
+_SCHEMA = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per document: id, n_words, n_hit, spans of hit words, the items found (sorted as strings), and with keep_text the text."""
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    blocks = list(_blocks(benchmark, item_col, item_text_col)) or [[]]
-    for k, block in enumerate(blocks):
-        out = out.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(block), size, k == len(blocks) - 1, keep_text), _SPAN)
+
+    def scan(index: Callable[[], Windows], last: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = index()
+
+            def row(id_, text, _, spans, items):
+                w = words(text)
+                new, who = windows.hits(w)
+                both = merged([(s["a"], s["b"]) for s in spans] + new)
+                return id_, None if last and not keep_text else text, len(w), [{"a": a, "b": b} for a, b in both], sorted(who.union(items))
+
+            return common.row_batches((row(*r) for r in common.rows_of(batches, *_SCHEMA.names)), _SCHEMA, 500)
+
+        return run
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), _no_spans().alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    out = _scanned(rows, benchmark, item_col, item_text_col, scan, size)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     return out.select("id", *(["text"] if keep_text else []), "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
+def _no_spans():
+    return F.expr("cast(array() as array<struct<a:int,b:int>>)")
+
+
 def contaminated():
     """The contract's rule: at least one word in twenty is hit."""
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
@@ -161,38 +195,35 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
-def _judge(block, size: int, text_col: str, last: bool):
-    """Adds a block's hits to `_spans`; with the last block, the rows that pass are left."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents that aren't contaminated, with their columns: each row is judged by its own hits, whatever its id and
+    however many blocks the benchmark has."""
+    spans = bloom.unused(docs, "spans")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Windows(block.value, size)
+    def scan(index: Callable[[], Windows], last: bool):
+        """Adds a block's hits to the spans; with the last block, the rows that pass are left."""
 
-        def hit(text: str | None, spans: list[dict]) -> tuple[int, list[tuple[int, int]]]:
-            w = words(text)
-            return len(w), merged([(s["a"], s["b"]) for s in spans] + index.hits(w)[0])
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = index()
 
-        for batch in batches:
-            text, at = (batch.schema.get_field_index(c) for c in (text_col, "_spans"))
-            for k in range(0, batch.num_rows, 512):
-                piece = batch.slice(k, 512)
-                found = [hit(*r) for r in zip(piece.column(text).to_pylist(), piece.column(at).to_pylist(), strict=True)]
-                if last:
-                    hits = [(n, sum(b - a for a, b in spans)) for n, spans in found]
-                    yield piece.filter(pa.array([not (n_hit > 0 and 20 * n_hit >= n) for n, n_hit in hits], pa.bool_()))
-                else:
-                    yield piece.set_column(at, "_spans", pa.array([[{"a": a, "b": b} for a, b in spans] for _, spans in found], _SCHEMA.field("spans").type))
+            def hit(text: str | None, old: list[dict]) -> tuple[int, list[tuple[int, int]]]:
+                w = words(text)
+                return len(w), merged([(s["a"], s["b"]) for s in old] + windows.hits(w)[0])
 
-    return run
+            for batch in batches:
+                text, at = (batch.schema.get_field_index(c) for c in (text_col, spans))
+                for k in range(0, batch.num_rows, 512):
+                    piece = batch.slice(k, 512)
+                    found = [hit(*r) for r in zip(piece.column(text).to_pylist(), piece.column(at).to_pylist(), strict=True)]
+                    if last:
+                        hits = [(n, sum(b - a for a, b in s)) for n, s in found]
+                        yield piece.filter(pa.array([not (n_hit > 0 and 20 * n_hit >= n) for n, n_hit in hits], pa.bool_()))
+                    else:
+                        yield piece.set_column(at, spans, pa.array([[{"a": a, "b": b} for a, b in s] for _, s in found], _SCHEMA.field("spans").type))
 
+        return run
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents that aren't contaminated, with their columns: each row is judged by its own hits, whatever its id and
-    however many blocks the benchmark has."""
-    out = docs.withColumn("_spans", F.expr("cast(array() as array<struct<a:int,b:int>>)"))
-    blocks = list(_blocks(benchmark, item_col, item_text_col)) or [[]]
-    for k, block in enumerate(blocks):
-        out = out.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(block), size, text_col, k == len(blocks) - 1), out.schema)
-    return out.drop("_spans")
+    return _scanned(docs.withColumn(spans, _no_spans()), benchmark, item_col, item_text_col, scan, size).drop(spans)
 
 
 def items_sha256(items: Iterable[str]) -> str:

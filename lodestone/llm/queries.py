@@ -127,6 +127,18 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id AS a, doc_id AS root FROM d UNION SELECT e.b AS a, r.root AS root FROM r JOIN e ON r.a = e.a WHERE r.root < e.b),
         m AS (SELECT a AS doc_id, min(root) AS component_id FROM r GROUP BY a)
         SELECT d.doc_id AS doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN m ON d.doc_id = m.doc_id""",
+    "op5_sharding": """
+        WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+        d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(doc_id AS UBIGINT) AS k FROM documents),
+        b AS (SELECT doc_id, k, length(h) // 2 + 16 AS size, [4294967295] || list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d),
+        c AS (SELECT doc_id, k, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM b, t),
+        m1 AS (SELECT *, CAST(CAST(xor(k, k >> 30) AS UHUGEINT) * 13787848793156543929 % 18446744073709551616 AS UBIGINT) AS x FROM c),
+        m2 AS (SELECT *, CAST(CAST(xor(x, x >> 27) AS UHUGEINT) * 10723151780598845931 % 18446744073709551616 AS UBIGINT) AS y FROM m1),
+        j AS (SELECT doc_id, n, xor(y, y >> 31) AS key, CAST(-1 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS later FROM m2, (VALUES (40), (41)) s(n)
+            UNION ALL SELECT doc_id, n, z AS key, later AS shard, CAST(floor((later + 1) * (2147483648.0e0 / ((z >> 33) + 1.0e0))) AS BIGINT) AS later
+            FROM (SELECT *, CAST((CAST(key AS UHUGEINT) * 2862933555777941757 + 1) % 18446744073709551616 AS UBIGINT) AS z FROM j WHERE later < n)),
+        f AS (SELECT doc_id, CAST(max(shard) FILTER (n = 40) AS INTEGER) AS shard, CAST(max(shard) FILTER (n = 41) AS INTEGER) AS grown_shard FROM j GROUP BY doc_id)
+        SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM c JOIN f USING (doc_id)""",
     "op7_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),

@@ -1,8 +1,9 @@
 """Sharding by jump consistent hashing.
 
 A stable key and the number of shards alone decide a row's shard; there is no ring table, and with one more shard a
-row either stays or moves to the new shard. Slots inside a shard are gapless: rows are numbered in small sub-buckets,
-and the counts of the sub-buckets (shards x SUB rows, whatever the input's size) give the offsets.
+row either stays or moves to the new shard. Slots inside a shard are gapless: rows are dealt out as ranges of shard, key
+and a random number, so that not even one key with very many rows makes a large range; rows are numbered inside each
+range, and the counts of ranges and shards (one row for each of both at most) give the offsets.
 
 Defined results: a null key is a key of its own (as -1); a null text has size 16 and checksum 0; rows that repeat a key
 share a shard and get different slots; an empty table gives no rows; other columns are ignored.
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SUB = 256
 #: Constants of the published jump hash (fixed values).
 LCG = 2862933555777941757
 
@@ -53,12 +53,12 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select(
         "id", (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    spread = F.pmod(F.pmod(key, F.lit(1 << 32)) * F.lit(1_000_000_007), F.lit(1 << 32))
-    sub = F.floor(spread * F.lit(SUB) / F.lit(1 << 32)).cast("int")
-    rows = common.materialize(base.select("*", _sharder(shards)(key).alias("shard"), _sharder(shards + 1)(key).alias("grown_shard"), sub.alias("sub")))
-    counts = rows.groupBy("shard", "sub").count()
-    offsets = counts.select("shard", "sub", (F.sum("count").over(Window.partitionBy("shard").orderBy("sub")) - F.col("count")).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("shard", "sub").orderBy(F.col("id").asc_nulls_first()))
-    return rows.withColumn("within", within).join(F.broadcast(offsets), ["shard", "sub"]).select(
-        "id", "size", "text_crc32", "shard", (F.col("offset") + F.col("within") - 1).alias("slot"), "grown_shard"
-    )
+    rows = base.select("*", _sharder(shards)(key).alias("shard"), _sharder(shards + 1)(key).alias("grown_shard"), F.rand(7).alias("tie"))
+    order = [F.col("shard"), F.col("id").asc_nulls_first(), F.col("tie")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    # Saved, so that counts and numbers are of one dealing. The number is the range's times 2^33 plus the place in it.
+    dealt = common.materialize(dealt.withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftrightunsigned("at", 33)))
+    counts = dealt.groupBy("shard", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")
+    offsets = counts.select("shard", "range", (before - F.col("first")).alias("offset"))
+    return dealt.join(F.broadcast(offsets), ["shard", "range"]).select("id", "size", "text_crc32", "shard", (F.col("offset") + F.col("at")).alias("slot"), "grown_shard")
