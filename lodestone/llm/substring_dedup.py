@@ -5,14 +5,16 @@ window of `size` words belongs to the anchor that is the smallest hash of its AN
 with one anchor form a block. Equal windows have equal anchors wherever they stand, so a document need only be parsed
 against the blocks under its own anchors, and no reference block that could match is missed.
 
-The parse is greedy. Where all documents with an anchor have the same block, the document copies the whole block at once
-from the smallest of them. Elsewhere the block touches the end of a factor (something before or after it differs),
-and each of its windows is looked up on its own among the windows of the reference blocks under that anchor. Phrases
-that overlap or touch within a window make one factor; as each phrase has `size` words or more, so has each factor,
-and the words of all factors are the duplicate spans.
+The parse is greedy. The index has each reference block and each of its windows with the smallest id that has it. Where
+all documents with an anchor have the same block, the document copies the whole block at once from the smallest of them.
+Elsewhere a factor may end within the block (something before or after differs), and each of its windows is checked on
+its own in the index. From left to right, a factor goes on as long as the windows are copied from one document, and so
+has `size` words at least; the words of all factors are the duplicate spans, and each factor names its source.
 
-Blocks and windows are compared by 128 bits of hash (the anchor's 64 and 64 of the content). All exchange is by key
-with partial aggregation or by joins whose hot keys Spark can split; there is no list of a key's documents anywhere.
+Blocks and windows are compared by 128 bits of hash (the anchor's 64 and 64 of the content), not word for word: the
+words of a reference are never sent to the documents that copy from it. All exchange is by key with partial aggregation
+or by joins whose hot keys Spark can split; there is no list of a key's documents anywhere, and what is gathered for a
+row is of its own text (rows with equal ids and texts share it).
 
 Defined results: words are split at ASCII white space and unchanged; null or empty texts have none; rows that share an
 id are never each other's references, and rows without an id are references of nothing and copy from any; an empty
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common
 
 ANCHOR = 16
 #: Stands for "no id": larger than all ids.
@@ -76,16 +78,40 @@ class Parser:
         at = np.flatnonzero(np.isin(anchor, open_anchors))
         return anchor[at], self.rolling.runs(prefix, at, at + self.size)
 
-    def covered(self, raw: bytes, whole: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """Whether each word lies in a window with an anchor of `whole` or a hash of `single`."""
+    def sources(self, raw: bytes, whole: dict[int, int], single: dict[int, int]) -> np.ndarray:
+        """Which document each window is copied from, by its anchor in `whole` or its hash in `single`; -1 for none."""
         anchor, prefix = self.anchors(raw)
-        copied = np.isin(anchor, whole)
-        if len(single):
-            copied |= np.isin(self.rolling.windows(prefix, self.size), single)
-        depth = np.zeros(len(prefix), np.int64)
-        depth[: len(copied)] += copied
-        depth[self.size : self.size + len(copied)] -= copied
-        return np.cumsum(depth[:-1]) > 0
+        found = _looked_up(anchor, whole)
+        if single and len(found):
+            at = np.flatnonzero(found < 0)
+            found[at] = _looked_up(self.rolling.runs(prefix, at, at + self.size), single)
+        return found
+
+
+def _looked_up(keys: np.ndarray, table: dict[int, int]) -> np.ndarray:
+    if not table or not len(keys):
+        return np.full(len(keys), -1, np.int64)
+    known = np.array(list(table), np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known, values = known[order], np.array(list(table.values()), np.int64)[order]
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], -1)
+
+
+def factors_of(sources: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(first word, word after the last, source) of the factors: each goes on as long as its windows have one source."""
+    edge = np.flatnonzero(np.concatenate([[True], sources[1:] != sources[:-1]])) if len(sources) else np.zeros(0, np.int64)
+    ends = np.append(edge[1:], len(sources))
+    return [(int(a), int(b) - 1 + size, int(sources[a])) for a, b in zip(edge, ends, strict=True) if sources[a] >= 0]
+
+
+def covered_by(factors: list[tuple[int, int, int]], n: int) -> np.ndarray:
+    """Whether each of n words lies in a factor."""
+    depth = np.zeros(n + 1, np.int64)
+    for a, b, _ in factors:
+        depth[a] += 1
+        depth[b] -= 1
+    return np.cumsum(depth[:-1]) > 0
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -97,39 +123,47 @@ def _keys(x) -> np.ndarray:
 
 
 def _emit(size: int, names: tuple[str, ...], fn):
-    """A mapInArrow function: fn(parser, raw text, *columns) gives two hash arrays; rows are (id, first, second)."""
-    schema = pa.schema([("id", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64())])
+    """A mapInArrow function: fn(parser, raw text, *columns) gives two hash arrays; rows are (id, row, first, second)."""
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser, out = Parser(size), common.Sink(schema, 200_000)
-        for id_, text, *rest in common.rows_of(batches, "id", "text", *names):
+        for id_, row, text, *rest in common.rows_of(batches, "id", "row", "text", *names):
             if text and len(text) >= 2 * size - 1:
                 a, b = fn(parser, text.encode(), *rest)
                 if len(a):
-                    out.add(len(a), np.full(len(a), id_, np.int64), common.signed(a), common.signed(b))
+                    out.add(len(a), np.full(len(a), id_, np.int64), np.full(len(a), row, np.int64), common.signed(a), common.signed(b))
                     yield from out.full()
         yield from out.rest()
 
     return run
 
 
-_ROWS = "id long, anchor long, content long"
+_ROWS = "id long, row long, anchor long, content long"
 
 
 def parsed(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each input row (id, text) with what it copies: `whole`, anchors whose blocks are copied entirely, and `single`, hashes of further copied windows."""
+    """Each input row (id, text) with what it copies and from whom: `whole`, anchors whose blocks are copied entirely, and
+    `single`, hashes of further copied windows."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    base = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(key.alias("id"), F.col(text_col).alias("text")).select("id", F.xxhash64("id", "text").alias("row"), "text")
     blocks = common.materialize(base.mapInArrow(_emit(size, (), lambda p, w: p.blocks(w)), _ROWS))
     anchors = blocks.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.min("id").alias("first"), F.max("id").alias("last"))
     shared = anchors.where("first < last").select("anchor", (F.col("lo") == F.col("hi")).alias("same"), "first")
-    touched = blocks.select("id", "anchor").join(shared, "anchor").where("not same or id > first")
-    by_doc = touched.groupBy("id").agg(F.collect_set(F.when(F.col("same"), F.col("anchor"))).alias("whole"), F.collect_set(F.when(~F.col("same"), F.col("anchor"))).alias("open"))
-    routed = base.join(by_doc, "id", "left")
-    windows = routed.where("size(open) > 0").select("id", "text", "open").mapInArrow(_emit(size, ("open",), lambda p, w, o: p.windows(w, _keys(o))), _ROWS)
-    found = windows.groupBy("anchor", "content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("anchor", "content", "first")
-    copied = windows.join(found, ["anchor", "content"]).where("id > first").groupBy("id").agg(F.collect_set("content").alias("single"))
-    return routed.select("id", "text", "whole").join(copied, "id", "left")
+    touched = blocks.select("id", "row", "anchor").join(shared, "anchor").where("not same or id > first")
+    copies = F.collect_set(F.when(F.col("same"), F.struct("anchor", F.col("first").alias("source"))))
+    routed = common.materialize(touched.groupBy("row").agg(copies.alias("whole"), F.collect_set(F.when(~F.col("same"), F.col("anchor"))).alias("open")))
+    common.release(blocks)
+    open_ = routed.where("size(open) > 0").select("row", "open")
+    near = bloom.marked(base, F.col("row"), open_, F.col("row"), "maybe").where("maybe").drop("maybe").join(open_, "row")
+    windows = common.materialize(near.mapInArrow(_emit(size, ("open",), lambda p, w, o: p.windows(w, _keys(o))), _ROWS))
+    index = windows.groupBy("anchor", "content").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("anchor", "content", "source")
+    copied = windows.join(index, ["anchor", "content"]).where("id > source").groupBy("row").agg(F.collect_set(F.struct("content", "source")).alias("single"))
+    # Only rows that may copy something are sent to what they copy.
+    flagged = bloom.marked(base, F.col("row"), routed, F.col("row"), "maybe")
+    alone = flagged.where("not maybe").drop("maybe").select("id", "text", *[F.lit(None).cast(t).alias(n) for n, t in (("whole", "array<struct<anchor:long,source:long>>"), ("single", "array<struct<content:long,source:long>>"))])
+    with_copies = flagged.where("maybe").drop("maybe").join(routed.select("row", "whole"), "row", "left").join(copied, "row", "left")
+    return with_copies.select("id", "text", "whole", "single").unionByName(alone)
 
 
 def spans_of(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -139,8 +173,10 @@ def spans_of(covered: np.ndarray) -> list[tuple[int, int]]:
 
 
 def duplicate_spans(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_words, n_removed, spans (word positions of the factors), kept_text."""
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("kept_text", pa.string())])
+    """One row per input row: id, n_words, n_removed, factors (word positions and the id copied from), spans (of words that
+    factors cover), kept_text."""
+    place = [("a", pa.int32()), ("b", pa.int32())]
+    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("factors", pa.list_(pa.struct([*place, ("source", pa.int64())]))), ("spans", pa.list_(pa.struct(place))), ("kept_text", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(size)
@@ -148,14 +184,15 @@ def duplicate_spans(docs: DataFrame, size: int = 50, id_col: str = "doc_id", tex
         def row(id_, text, whole, single):
             id_, words = None if id_ == NO_ID else id_, _words(text)
             if len(words) < size or not (whole or single):
-                return id_, len(words), 0, [], b" ".join(words).decode()
-            covered = parser.covered(text.encode(), _keys(whole), _keys(single))
+                return id_, len(words), 0, [], [], b" ".join(words).decode()
+            factors = factors_of(parser.sources(text.encode(), {x["anchor"]: x["source"] for x in whole or ()}, {x["content"]: x["source"] for x in single or ()}), size)
+            covered = covered_by(factors, len(words))
             kept = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-            return id_, len(words), len(words) - len(kept), [{"a": a, "b": b} for a, b in spans_of(covered)], b" ".join(kept).decode()
+            return id_, len(words), len(words) - len(kept), [{"a": a, "b": b, "source": s} for a, b, s in factors], [{"a": a, "b": b} for a, b in spans_of(covered)], b" ".join(kept).decode()
 
         return common.row_batches((row(*r) for r in common.rows_of(batches, "id", "text", "whole", "single")), schema, 500)
 
-    return parsed(docs, size, id_col, text_col).mapInArrow(run, "id long, n_words long, n_removed long, spans array<struct<a:int,b:int>>, kept_text string")
+    return parsed(docs, size, id_col, text_col).mapInArrow(run, "id long, n_words long, n_removed long, factors array<struct<a:int,b:int,source:long>>, spans array<struct<a:int,b:int>>, kept_text string")
 
 
 def digest(found: DataFrame) -> DataFrame:
