@@ -16,13 +16,20 @@ next one only; a class with sets of one class of origin that another class has a
 Regions first compare sketches: how many shingles a set has in each of some buckets of the hash. The buckets are pivots
 too; the difference of the counts, summed, is at most the symmetric difference of the sets, so pairs beyond the radius
 are ruled out without their texts, and no pair within it ever is. What may still be linked makes groups, by connected
-components over all regions; each text then goes to the one task of its group.
+components over all regions; each text then goes to its group.
 
-Inside a group. Pivots split it again: the most central set and the one farthest from it. Each set goes to the nearer
+Between tasks. A region (for sketches, whose summed difference is a metric too) or group (for texts) of more than
+REGION_ROWS sets or REGION_BYTES is split by a pivot over many tasks, again and again: each of its sets is measured
+against the pivot alone, sets within the radius are linked with it, and the others fall into rings one radius wide. By
+the triangle inequality only sets of one ring or of neighbouring rings can be linked, so each ring is replicated into two
+windows, and a window goes on only if it has sets that aren't linked yet. So a cluster of near copies of one text costs
+one measurement a copy. What is still large after ROUNDS pivots is cut into blocks, and each block of sets that aren't
+linked with most others meets all blocks, in tasks of bounded size.
+
+Inside a task. Pivots split it again: the most central set and the one farthest from it. Each set goes to the nearer
 pivot's cell, and also to the other's if d2 <= d1 + 2 * radius, as by the triangle inequality only then can a neighbour be
 there; cells are split in the same way until they are small or no longer shrink. There, sets of different components
-whose distances to the pivots differ by no more than the radius are compared exactly. A region or group of more than
-REGION_ROWS sets or REGION_BYTES is cut into blocks, and every pair of blocks is one task of bounded size.
+whose distances to the pivots differ by no more than the radius are compared exactly.
 
 Links become connected components by key-wise joins. Equal sets are one node throughout, so copies cost nothing.
 
@@ -45,7 +52,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import bloom, common
 from ..operators.components import stars as components
 
-REGION_ROWS, REGION_BYTES = 3_000, 24 << 20
+REGION_ROWS, REGION_BYTES = 2_000, 24 << 20
+#: Pivots that split a large region between tasks one after the other.
+ROUNDS = 4
 LEAF = 64
 #: At most this many frequent shingles are put last; which are frequent is relative to the input.
 FREQUENT = 2_000_000
@@ -94,6 +103,11 @@ def buckets(k: int, percent: int) -> int:
     return 1 << int(np.clip(np.ceil(k * np.log2(100 / percent) + np.log2(0.08)), 4, 14))
 
 
+def _sketch_bytes(percent: int) -> Column:
+    """Bytes of a sketch in class `k`."""
+    return F.pow(F.lit(2.0), F.least(F.lit(14), F.greatest(F.lit(4), F.ceil(F.col("k") * float(np.log2(100 / percent)) + float(np.log2(0.08))))))
+
+
 def sketch_of(shingles: np.ndarray, percent: int) -> bytes:
     m = buckets(size_class(len(shingles), percent) + 1, percent)
     return np.minimum(np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8).tobytes()
@@ -209,6 +223,8 @@ class Region:
                 self.link(i, rest[open_])
 
 
+_MEASURED = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("k", pa.int32()), ("id", pa.int64()), ("len", pa.int32()), ("crc", pa.int64()), ("ring", pa.int32()), ("pivot", pa.int64())])
+_DDL = {pa.int64(): "long", pa.int32(): "int"}
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -235,15 +251,19 @@ def may_link(sketches: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
 
 def _compare_sketches(percent: int):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = buckets(key[0].as_py()["k"], percent)
-        rows = {node: (n, np.frombuffer(s, np.uint8)) for node, n, s in common.rows_of(batches, "node", "n", "sketch")}
+        rows = {node: (n, k, np.frombuffer(s, np.uint8)) for node, n, k, s in common.rows_of(batches, "node", "n", "k", "sketch")}
         if len(rows) > 1:
-            sketches = np.array([s.reshape(-1, m).sum(axis=0) for _, s in rows.values()])
-            yield _edges(np.array(list(rows), np.int64), may_link(sketches, np.array([n for n, _ in rows.values()], np.int64), percent))
+            sketches = np.array([_buckets_of(s, k, percent) for _, k, s in rows.values()])
+            yield _edges(np.array(list(rows), np.int64), may_link(sketches, np.array([n for n, _, _ in rows.values()], np.int64), percent))
 
     return run
 
 
+def _buckets_of(sketch: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """A sketch by the buckets of the class of size it is compared in."""
+    return sketch.reshape(-1, buckets(k, percent)).sum(axis=0).astype(np.int64)
+
+
 def _join_block(size: int, percent: int):
     """Edges from each set of a block to the first of its component there."""
 
@@ -262,6 +282,90 @@ def _join_block(size: int, percent: int):
     return run
 
 
+def _measured_block(names: list[str], schema: pa.Schema, read, compare):
+    """An applyInArrow function that measures the rows of a block against the pivot's row, which is in all blocks.
+    read(columns of a row) gives what is compared, or None for a row that isn't the one it stands for; compare(pivot,
+    other) gives the ring and whether they are linked. Rows come with their label, the pivot's if they are linked."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, pivot = {}, None
+        for row in common.rows_of(batches, "block", "first", *names):
+            of, value = dict(zip(names, row[2:], strict=True)), None
+            if of["node"] not in found and (value := read(of)) is not None:
+                found[of["node"]] = (of, value, row[0])
+                if row[1]:
+                    pivot = of["node"]
+        if found and pivot is None:
+            raise RuntimeError("a region's pivot has no row")
+
+        def rows() -> Iterator[tuple]:
+            first = found[pivot]
+            for node, (of, value, block) in found.items():
+                if node != pivot or block == 0:
+                    ring, linked = (0, True) if node == pivot else compare(first[:2], (of, value))
+                    yield tuple({**of, "label": first[0]["label"] if linked else of["label"], "ring": ring, "pivot": pivot if linked else None}[f.name] for f in schema)
+
+        if found:
+            yield from common.row_batches(rows(), schema)
+
+    return run
+
+
+def _by_sketch(percent: int):
+    """Rings as wide as the largest difference that linked sets of the class may have."""
+
+    def compare(pivot: tuple, other: tuple) -> tuple[int, bool]:
+        (a, x), (b, y) = pivot, other
+        apart = int(np.abs(x - y).sum())
+        widest = int((100 / percent) ** (a["k"] + 1)) + 1
+        return apart * (100 + percent) // (2 * widest * (100 - percent) + 1), apart * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent)
+
+    return lambda of: _buckets_of(np.frombuffer(of["sketch"], np.uint8), of["k"], percent), compare
+
+
+def _by_text(size: int, percent: int):
+    """Rings one radius wide, closed at the far end, so that the first one has what is linked with the pivot."""
+    shingler = Shingler(size)
+
+    def read(of: dict) -> np.ndarray | None:
+        s = shingler.set_of(of["text"])
+        return s if node_of(s) == of["node"] else None
+
+    def compare(pivot: tuple, other: tuple) -> tuple[int, bool]:
+        x, y = pivot[1], other[1]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        union = len(x) + len(y) - both
+        ring = max(0, -(-((union - both) * 100) // (union * (100 - percent))) - 1)
+        return ring, 100 * both >= percent * union
+
+    return read, compare
+
+
+def _split_by_pivots(members: DataFrame, weight: Column, measured) -> tuple[DataFrame, list[DataFrame]]:
+    """Regions (columns region, node, label and others) after up to ROUNDS pivots, as the module's text says, and the edges
+    that were found on the way. measured(rows) adds `ring` and `pivot` and sets `label`; the rows have `block`, and
+    `first` marks the pivot."""
+    edges, columns = [], members.columns
+    for k in range(ROUNDS):
+        sizes = members.groupBy("region").agg(
+            F.ceil(F.greatest(F.count("*") / REGION_ROWS, F.sum(weight) / REGION_BYTES)).cast("int").alias("blocks"),
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("node", F.xxhash64("node", F.lit(k))).alias("chosen"),
+        )
+        large = common.materialize(sizes.where("blocks > 1 and lo < hi").select("region", "blocks", "chosen"))
+        if large.limit(1).count() == 0:
+            return members, edges
+        first = F.col("node") == F.col("chosen")
+        block = F.when(first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
+        dealt = members.join(large, "region").select(*columns, F.explode(block).alias("block"), first.alias("first"))
+        ringed = common.materialize(measured(dealt))
+        edges.append(ringed.where("pivot is not null and pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        window = F.explode(F.filter(F.array(F.col("ring") - 1, F.col("ring")), lambda w: w >= 0))
+        windows = ringed.withColumn("window", window).withColumn("region", F.xxhash64("region", F.lit(k), "window")).select(*columns)
+        open_ = windows.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("region")
+        members = common.materialize(members.join(large, "region", "left_anti").select(*columns).unionByName(windows.join(open_, "region").select(*columns)))
+    return members, edges
+
+
 def _classes(members: DataFrame, percent: int) -> DataFrame:
     """Members of regions by class of size, as the module's text says: adds `k`, the class."""
     own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
@@ -272,13 +376,31 @@ def _classes(members: DataFrame, percent: int) -> DataFrame:
     return rows.join(counts.select("pivot", "k"), ["pivot", "k"]).drop("own")
 
 
-def _blocks(members: DataFrame, keys: list[str], weight: Column) -> DataFrame:
-    """Adds `task`: the keys with each pair of blocks that a member takes part in; a group of bounded size is one block."""
-    totals = members.groupBy(*keys).agg(F.ceil(F.greatest(F.count("*") / REGION_ROWS, F.sum(weight) / REGION_BYTES)).cast("int").alias("_blocks"))
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("_blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(j, F.col("_mine")).alias("i"), F.greatest(j, F.col("_mine")).alias("j")))
-    cut = members.join(totals, keys).withColumn("_mine", mine).withColumn("_block", F.explode(pair))
-    return cut.withColumn("task", F.struct(*keys, "_block")).drop("_blocks", "_mine", "_block")
+def _tasks(members: DataFrame, weight: Column) -> DataFrame:
+    """Adds `task`. A region of bounded size is one task. In a larger one the sets with its commonest label, which are all
+    linked, and the others are cut into blocks; each block of others makes a task with each block of either kind."""
+    whole = members.groupBy("region", "label").agg(F.count("*").alias("n"), F.sum(weight).alias("bytes")).groupBy("region").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label")).alias("main"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / REGION_ROWS, size / REGION_BYTES)).cast("int")
+    n, size = F.col("n"), F.col("bytes")
+    totals = whole.select("region", blocks(n, size).alias("blocks"), F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.bytes")).alias("of_main"), blocks(n - F.col("main.n"), size - F.col("main.bytes")).alias("of_rest"))
+    place = lambda count: F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.col(count))).cast("int")
+    task = lambda i, j, kind: F.struct("region", i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+    each = lambda count, fn: F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(count) - 1, F.lit(0))), fn))
+    one = F.array(task(F.lit(0), F.lit(0), 0))
+    mine = F.col("mine")
+    as_main = each("of_rest", lambda i: task(i, mine, 1))
+    as_rest = F.concat(each("of_rest", lambda j: task(F.least(j, mine), F.greatest(j, mine), 2)), each("of_main", lambda j: task(mine, j, 1)))
+    is_main = F.col("label") == F.col("main")
+    rows = members.join(totals, "region").withColumn("mine", F.when(is_main, place("of_main")).otherwise(place("of_rest")))
+    return rows.withColumn("task", F.explode(F.when(F.col("blocks") <= 1, one).when(is_main, as_main).otherwise(as_rest))).select(*members.columns, "task")
+
+
+def _with_texts(base: DataFrame, uses: DataFrame, columns: list[str]) -> DataFrame:
+    """node, text and `columns` of uses, whose rows name a text by id, len and crc. Each text is sent once for all its uses."""
+    wanted = common.materialize(uses.groupBy("node", F.col("id").alias("of"), F.col("len").alias("of_len"), F.col("crc").alias("of_crc")).agg(F.collect_list(F.struct(*columns)).alias("uses")))
+    maybe = bloom.marked(base, F.xxhash64("id", "len", "crc"), wanted, F.xxhash64("of", "of_len", "of_crc"), "maybe").where("maybe")
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("id", "of"), ("len", "of_len"), ("crc", "of_crc"))]
+    return maybe.join(wanted, same).select("node", "id", "len", "crc", "text", F.explode("uses").alias("use")).select("node", "id", "len", "crc", "text", "use.*")
 
 
 def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFrame:
@@ -294,15 +416,30 @@ def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFra
     regions = common.materialize(prefixes.join(shared, "s").select("node", "pivot").distinct())
     first = common.materialize(nodes.groupBy("node").agg(F.min(F.struct("id", "len", "crc")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "n", "sketch", "x.*"))
     classes = common.materialize(_classes(regions.join(first.select("node", "n"), "node"), percent))
-    compared = _blocks(classes.join(first.select("node", "sketch"), "node"), ["pivot", "k"], F.octet_length("sketch"))
-    groups = common.materialize(components(compared.groupBy("task").applyInArrow(_compare_sketches(percent), "a long, b long")))
-    members = groups.union(groups.select("root", "root").distinct()).join(first.drop("sketch"), "node")
-    tasks = common.materialize(_blocks(members, ["root"], F.col("len")).groupBy("node", "id", "len", "crc").agg(F.collect_list("task").alias("tasks")))
-    key = F.xxhash64("id", "len", "crc")
-    maybe = bloom.marked(base, key, tasks, key, "maybe").where("maybe")
-    same = [maybe[c].eqNullSafe(tasks[c]) for c in ("id", "len", "crc")]
-    sent = maybe.join(tasks, same).select("node", F.explode("tasks").alias("task"), "text")
-    return sent.groupBy("task").applyInArrow(_join_block(size, percent), "a long, b long")
+    common.release(regions)
+
+    def measured(fn, names: list[str]):
+        fields = [f for f in _MEASURED if f.name in (*names, "label", "ring", "pivot")]
+        return _measured_block(names, pa.schema(fields), *fn), ", ".join(f"{f.name} {_DDL[f.type]}" for f in fields)
+
+    lean = classes.select(F.xxhash64("pivot", "k").alias("region"), "node", F.col("node").alias("label"), "n", "k")
+    sketches = first.select("node", "sketch")
+    by_sketch = measured(_by_sketch(percent), ["region", "node", "label", "n", "k", "sketch"])
+    open_, edges = _split_by_pivots(lean, _sketch_bytes(percent), lambda rows: rows.join(sketches, "node").groupBy("region", "block").applyInArrow(*by_sketch))
+    compared = _tasks(open_, _sketch_bytes(percent)).join(sketches, "node").groupBy("task").applyInArrow(_compare_sketches(percent), "a long, b long")
+    groups = common.materialize(components(_all(compared, edges)))
+    members = groups.union(groups.select("root", "root").distinct()).toDF("node", "region").join(first.select("node", "id", "len", "crc"), "node").withColumn("label", F.col("node"))
+    names = ["region", "node", "label", "id", "len", "crc"]
+    by_text = measured(_by_text(size, percent), [*names, "text"])
+    open_, edges = _split_by_pivots(members.select(*names), F.col("len"), lambda rows: _with_texts(base, rows, ["region", "label", "block", "first"]).groupBy("region", "block").applyInArrow(*by_text).drop("text"))
+    sent = _with_texts(base, _tasks(open_, F.col("len")), ["task"])
+    return _all(sent.groupBy("task").applyInArrow(_join_block(size, percent), "a long, b long"), edges)
+
+
+def _all(edges: DataFrame, more: list[DataFrame]) -> DataFrame:
+    for x in more:
+        edges = edges.unionByName(x)
+    return edges
 
 
 def _linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -89,6 +89,29 @@ def test_substring_dedup_spans_keep_text(docs):
         assert all(s["b"] - s["a"] >= 50 for s in r["spans"])
 
 
+def test_substring_dedup_factors_are_in_their_sources(docs, rows):
+    """Word for word: each window of a factor stands in the document it names, which has a smaller id, and no smaller one has it."""
+    texts = {i: (t or "").split() for i, t in rows}
+    windows = {i: {tuple(w[k : k + 50]) for k in range(len(w) - 49)} for i, w in texts.items()}
+    seen = 0
+    for r in substring_dedup.duplicate_spans(docs).where("size(factors) > 0").collect():
+        w = texts[r["id"]]
+        assert all(a["b"] - 50 < b["a"] for a, b in zip(r["factors"], r["factors"][1:]))
+        for f in r["factors"]:
+            for k in range(f["a"], f["b"] - 49):
+                has = [i for i in texts if tuple(w[k : k + 50]) in windows[i]]
+                assert min(has) == f["source"] < r["id"]
+                seen += 1
+    assert seen > 500
+
+
+def test_substring_dedup_many_rows_without_id(spark, rows):
+    some = [t for _, t in rows[10:60]]
+    docs = spark.createDataFrame([(None if k % 2 else 5000 + k, t) for k, t in enumerate(some * 4)], "doc_id long, text string").selectExpr("*", "1 as row", "2 as anchor", "3 as whole", "4 as maybe")
+    got = sorted((r["id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.digest(substring_dedup.duplicate_spans(docs)).collect())
+    assert got == sorted((i or 0, *rest) for i, *rest in substring_dedup.brute_force([tuple(r) for r in docs.select("doc_id", "text").collect()]))
+
+
 def test_jaccard_join(docs, rows, odd, empty):
     got = sorted((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect())
     assert got == sorted(jaccard_join.brute_force(rows))
@@ -98,6 +121,7 @@ def test_jaccard_join(docs, rows, odd, empty):
 
 def test_jaccard_join_in_blocks(monkeypatch, docs, rows):
     monkeypatch.setattr(jaccard_join, "REGION_ROWS", 5)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 2)
     got = sorted((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect())
     assert got == sorted(jaccard_join.brute_force(rows))
 
