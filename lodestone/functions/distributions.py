@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -66,6 +68,33 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+@cache
+def _discordant_tails(n: int) -> list[float]:
+    """Share of all orders of n ranks with at most k discordant pairs, for each k."""
+    counts = [1]
+    for m in range(2, n + 1):
+        sums = list(accumulate(counts, initial=0))
+        counts = [sums[min(k + 1, len(counts))] - sums[max(0, k - m + 1)] for k in range(len(counts) + m - 1)]
+    total = math.factorial(n)
+    return [c / total for c in accumulate(counts)]
+
+
+def kendall_two_sided(s: float, n: float, tied_x: tuple[float, float, float], tied_y: tuple[float, float, float]) -> float:
+    """Two-sided p-value of Kendall's s over n rows. Without ties and with 33 rows at most (or with the rows nearly in one
+    order) it is exact, else by the normal distribution. tied: sums over groups of t equal values of t(t-1)/2,
+    t(t-1)(t-2) and t(t-1)(2t+5)."""
+    n, pairs = int(n), int(n) * (int(n) - 1) // 2
+    if not tied_x[0] and not tied_y[0]:
+        least = (pairs - abs(int(s))) // 2
+        if n <= 33:
+            return min(1.0, 2 * _discordant_tails(n)[least]) if 2 * least != pairs else 1.0
+        if least <= 1:
+            return 2 * math.exp(-math.lgamma(n + 1 - least))
+    m = n * (n - 1.0)
+    var = (m * (2 * n + 5) - tied_x[2] - tied_y[2]) / 18 + 2 * tied_x[0] * tied_y[0] / m + tied_x[1] * tied_y[1] / (9 * m * (n - 2))
+    return normal_two_sided(s / math.sqrt(var)) if var > 0 else float("nan")
+
+
 def _over(fn):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(x) or pd.isna(y) else fn(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

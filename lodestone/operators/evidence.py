@@ -1,11 +1,15 @@
 """Evidence synthesis: pooling, heterogeneity, subgroups, sensitivity and bias.
 
 All operators work on tables of effects, one row a study: columns `t` (effect) and `v` (its variance), grouped by any
-keys. Sums by key have partial aggregation and no operator compares studies pairwise except Kendall's tau.
+keys. Sums by key have partial aggregation and no operator pairs studies with each other.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,12 +93,25 @@ def leave_one_out(effects: DataFrame, study: str, by: list[str] = []) -> DataFra
     df = F.col("_k") - 2
     rows = rows.withColumns({"q": q, "_df": df}).withColumn("tau2", F.greatest(F.lit(0.0), (F.col("q") - F.col("_df")) / (F.col("_s0") - F.col("_ww") / F.col("_s0"))))
     rows = rows.withColumn("i2", F.when((F.col("q") > F.col("_df")) & (F.col("_df") > 0), (F.col("q") - F.col("_df")) / F.col("q") * 100).otherwise(0.0))
-    # The random weights depend on the excluded study's own tau2: sums over the others by one join of keys.
-    others = effects.select(*keys, F.col(study).alias("_other"), F.col("t").alias("_t"), F.col("v").alias("_v"))
-    wr = 1 / (F.col("_v") + F.col("tau2"))
-    pairs = rows.select(*keys, study, "tau2", "i2", "_k").join(others, keys).where(F.col("_other") != F.col(study))
-    pooled = pairs.groupBy(*keys, study, "i2", "tau2", (F.col("_k") - 1).alias("k_remaining")).agg((F.sum(wr * F.col("_t")) / F.sum(wr)).alias("_m"), F.sqrt(1 / F.sum(wr)).alias("_se"))
-    return pooled.withColumns({"pooled": from_double_arcsine(F.col("_m")), "lo": from_double_arcsine(F.col("_m") - Z95 * F.col("_se")), "hi": from_double_arcsine(F.col("_m") + Z95 * F.col("_se"))}).drop("_m", "_se", "_all")
+    # The random weights depend on the excluded study's own tau2: each group's sums over all its studies, less that study,
+    # by blocks of excluded studies in arrays. A group comes as four numbers a study.
+    columns = [*keys, study, "k_remaining", "tau2", "i2", "pooled", "lo", "hi"]
+    types = dict(effects.dtypes) | dict.fromkeys(columns[len(keys) + 1 :], "double") | {"k_remaining": "bigint"}
+
+    def pooled(group: pd.DataFrame) -> pd.DataFrame:
+        t, v, tau2 = (group[c].to_numpy() for c in ("t", "v", "tau2"))
+        mean, se = np.empty(len(t)), np.empty(len(t))
+        for at in range(0, len(t), 256):
+            own = np.arange(at, min(at + 256, len(t)))
+            w = 1 / (v[None, :] + tau2[own, None])
+            w[np.arange(len(own)), own] = 0.0
+            total = w.sum(axis=1)
+            mean[own], se[own] = (w * t).sum(axis=1) / total, np.sqrt(1 / total)
+        back = lambda x: np.sin(x / 2) ** 2
+        group = group.assign(k_remaining=len(t) - 1, pooled=back(mean), lo=back(mean - Z95 * se), hi=back(mean + Z95 * se))
+        return group[columns]
+
+    return rows.select(*keys, study, "t", "v", "tau2", "i2").groupBy(*keys).applyInPandas(pooled, ", ".join(f"`{c}` {types.get(c, 'int')}" for c in columns)).drop("_all")
 
 
 def egger(effects: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -112,21 +129,61 @@ def egger(effects: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     return out.withColumn("bias_detected", F.col("p_value") < 0.10).drop("_sxx", "_syy", "_sxy", "_mx")
 
 
-def kendall_tau(rows: DataFrame, x: Column, y: Column, by: list[str] = [], key: str = "study") -> DataFrame:  # noqa: B006
-    """Tau-b with ties, by comparing each pair once inside its group; meant for groups of studies, not for raw rows."""
+def kendall_tau(rows: DataFrame, x: Column, y: Column, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Tau-b with ties and its two-sided p-value. Each group of studies comes as two numbers a study and is counted by a
+    sort and a merge, without its pairs. Rows without x or y are left out."""
     if not by:
         rows = rows.withColumn("_all", F.lit(1))
     keys = by or ["_all"]
-    base = rows.select(*keys, F.col(key).alias("_k"), x.alias("_x"), y.alias("_y"))
-    pairs = base.join(base.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("_k", "_x", "_y")]), keys).where("_k < _k2")
-    sx, sy = F.signum(F.col("_x") - F.col("_x2")), F.signum(F.col("_y") - F.col("_y2"))
-    out = pairs.groupBy(*keys).agg(F.sum(sx * sy).alias("s"), F.sum(sx * sx).alias("nx"), F.sum(sy * sy).alias("ny"), F.count("*").alias("pairs"))
-    return out.withColumn("tau", F.when(F.col("nx") * F.col("ny") > 0, F.col("s") / F.sqrt(F.col("nx") * F.col("ny")))).drop("_all")
-
-
-def begg(effects: DataFrame, by: list[str] = [], key: str = "study") -> DataFrame:  # noqa: B006
+    types = dict(rows.dtypes)
+
+    def counted(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group["_x"].to_numpy(), group["_y"].to_numpy()
+        n = len(a)
+        pairs = n * (n - 1) // 2
+        order = np.lexsort((b, a))
+        both = np.unique(np.column_stack([a, b]), axis=0, return_counts=True)[1]
+        tied = [_ties(np.unique(v, return_counts=True)[1]) for v in (a, b)]
+        open_ = pairs - tied[0][0] - tied[1][0] + _ties(both)[0]
+        s = open_ - 2 * _inversions(b[order])
+        nx, ny = pairs - tied[0][0], pairs - tied[1][0]
+        tau = s / math.sqrt(nx * ny) if nx * ny > 0 else None
+        p = distributions.kendall_two_sided(s, n, *tied) if tau is not None else None
+        return pd.DataFrame([(*(group[k].iloc[0] for k in keys), s, n, pairs, tau, p)], columns=[*keys, "s", "n_studies", "pairs", "tau", "p_value"])
+
+    base = rows.select(*keys, x.cast("double").alias("_x"), y.cast("double").alias("_y")).dropna(subset=["_x", "_y"])
+    return base.groupBy(*keys).applyInPandas(counted, ", ".join([*(f"`{k}` {types.get(k, 'int')}" for k in keys), "s double, n_studies long, pairs long, tau double, p_value double"])).drop("_all")
+
+
+def _ties(counts: np.ndarray) -> tuple[int, int, int]:
+    t = counts.astype(np.int64)
+    return int((t * (t - 1) // 2).sum()), int((t * (t - 1) * (t - 2)).sum()), int((t * (t - 1) * (2 * t + 5)).sum())
+
+
+def _inversions(v: np.ndarray) -> int:
+    """Pairs that stand in falling order, by merging ever longer sorted runs."""
+    rank = np.unique(v, return_inverse=True)[1].astype(np.int64)
+    n, width, found = len(rank), 1, 0
+    while width < n:
+        run = np.arange(n) // (2 * width)
+        left = (np.arange(n) // width) % 2 == 0
+        order = np.lexsort((rank, run))
+        # For each right-hand value, the left-hand values of its run that are larger.
+        lefts = np.cumsum(left[order])
+        of_run, first = run[order], np.searchsorted(run[order], run[order])
+        ends = np.searchsorted(of_run, of_run, "right")
+        base = np.where(first > 0, lefts[first - 1], 0)
+        total = lefts[ends - 1] - base
+        # lexsort is stable: equal left-hand values come before the right-hand one and don't count.
+        found += int((total - (lefts - base))[~left[order]].sum())
+        rank = rank[order]
+        width *= 2
+    return found
+
+
+def begg(effects: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Kendall's tau of t/se with the variance; groups of fewer than four studies give none."""
-    return kendall_tau(effects.where("v > 0"), F.col("t") / F.sqrt("v"), F.col("v"), by, key).where("pairs >= 6")
+    return kendall_tau(effects.where("v > 0"), F.col("t") / F.sqrt("v"), F.col("v"), by).where("n_studies >= 4").withColumn("bias_detected", F.col("p_value") < 0.10)
 
 
 def funnel(effects: DataFrame) -> DataFrame:
@@ -152,6 +209,11 @@ def heat_map(rows: DataFrame, key: str, outcomes: list[str], order: str) -> Data
     return means.where(F.coalesce(*outcomes).isNotNull()).orderBy(F.col(order).desc_nulls_last(), key)
 
 
+def subgroups(studies: DataFrame, column: str, into: str = "subgroup") -> DataFrame:
+    """Proportions pooled for each value of a multi-valued column, but unspecified ones; most studies first."""
+    return pool(proportion_effects(explode_groups(studies, column, into)), [into]).orderBy(F.col("k").desc(), into)
+
+
 def year_trend(rows: DataFrame, year: str) -> DataFrame:
     """Rows a year with the least-squares line through the counts; the line only with more than two years."""
     counts = rows.groupBy(F.col(year).alias("year")).agg(F.count("*").alias("n"))

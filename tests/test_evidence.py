@@ -1,5 +1,8 @@
 """Pooling, bias tests and text extraction on fixtures with known results."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +34,10 @@ def test_bias(effects):
     r = E.egger(effects).first()
     assert (r["intercept"], r["intercept_se"], r["p_value"]) == pytest.approx((-0.34429753020516785, 0.44637228467768003, 0.47536801797194683), rel=1e-6)
     assert r["true_intercept_se"] == pytest.approx(6.1805, abs=1e-4)
-    assert E.begg(effects).first()["tau"] == pytest.approx(-0.6831300510639733)
+    begg = E.begg(effects).first()
+    assert (begg["tau"], begg["p_value"], begg["bias_detected"]) == (pytest.approx(-0.6831300510639733), pytest.approx(0.03344063866399787), True)
+    egger = E.egger(effects).first()
+    assert (egger["p_value"], egger["bias_detected"]) == (pytest.approx(0.47536801797194683), False)
 
 
 def test_tails():
@@ -77,3 +83,26 @@ def test_single_group_without_spread(spark):
     r = E.pool(one).first()
     assert (r["i2"], r["tau2"], r["p_heterogeneity"]) == (0.0, 0.0, 1.0) and r["fixed"] == r["random"]
     assert one.select(F.round("v", 6)).first()[0] == 0.090909
+
+
+def test_kendall_counts_as_all_pairs_do(spark):
+    rng = random.Random(3)
+    rows = [(g, k, float(rng.randint(0, 30 if g else 10_000)), float(rng.randint(0, 20 if g else 10_000))) for g in range(3) for k in range(12 if g < 2 else 70)]
+    got = {r["g"]: r for r in E.kendall_tau(spark.createDataFrame([*rows, (1, 99, None, 1.0)], "g int, study int, x double, y double"), F.col("x"), F.col("y"), ["g"]).collect()}
+    for g in range(3):
+        p = [(x, y) for h, _, x, y in rows if h == g]
+        sign = [((a > c) - (a < c), (b > d) - (b < d)) for i, (a, b) in enumerate(p) for c, d in p[:i]]
+        s, nx, ny = sum(u * v for u, v in sign), sum(u * u for u, _ in sign), sum(v * v for _, v in sign)
+        assert (got[g]["s"], got[g]["n_studies"]) == (s, len(p)) and got[g]["tau"] == pytest.approx(s / math.sqrt(nx * ny))
+        assert 0 <= got[g]["p_value"] <= 1
+    # four ranks: 1, 4, 9, 15 and 20 of 24 orders have at most 0 .. 4 discordant pairs
+    assert [distributions.kendall_two_sided(s, 4, (0, 0, 0), (0, 0, 0)) for s in (6, 4, 2, 0)] == pytest.approx([2 / 24, 8 / 24, 18 / 24, 1])
+
+
+@pytest.mark.parametrize("text, want", [
+    ("ORR 50%. " + "x " * 100 + "The response rate was 80% and 85% ORR", 50.0), ("the response rate of 33% (95% CI 20-40), so ORR was 44 %", 44.0),
+    ("ORR was 120%", None), ("Overall response rate was good", None), ("", None), ("12% CR, 34.5% ORR", 34.5),
+])
+def test_nearest_percentage(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(extraction.nearest_percentage(F.col("t"), lexicon.OUTCOMES["ORR"])).first()[0]
+    assert got == want
