@@ -146,6 +146,20 @@ def _kmeans_sql(rounds: int) -> str:
     return f"WITH {', '.join(parts)} SELECT {near} AS cluster, count(*) AS n, {_r('avg(v)', 'mean', 6)} FROM c, k{rounds} GROUP BY 1"
 
 
+def _mixture_sql(k: int, rounds: int) -> str:
+    """EM written out round by round, one row of weights, means and deviations after each."""
+    part = range(k)
+    start = ", ".join(f"1 / {k}.0e0 AS w{i}, low + (high - low) * {i + 0.5}e0 / {k} AS m{i}, greatest(sd / {k}, 1e-3) AS s{i}" for i in part)
+    steps = ["c AS (SELECT c_acctbal AS v FROM customer)", f"p0 AS (SELECT {start} FROM (SELECT min(v) AS low, max(v) AS high, stddev_pop(v) AS sd FROM c))"]
+    for r in range(rounds):
+        density = ", ".join(f"w{i} * exp(-pow((v - m{i}) / s{i}, 2) / 2) / (s{i} * sqrt(2 * pi())) AS g{i}" for i in part)
+        total = " + ".join(f"g{i}" for i in part)
+        steps.append(f"d{r} AS (SELECT v, {density} FROM c, p{r}), q{r} AS (SELECT v, {', '.join(f'g{i} / greatest({total}, 1e-300) AS r{i}' for i in part)} FROM d{r})")
+        sums = ", ".join(f"sum(r{i}) AS a{i}, sum(r{i} * v) AS b{i}, sum(r{i} * v * v) AS e{i}" for i in part)
+        steps.append(f"u{r} AS (SELECT count(*) AS n, {sums} FROM q{r}), p{r + 1} AS (SELECT {', '.join(f'a{i} / n AS w{i}, b{i} / a{i} AS m{i}, greatest(sqrt(greatest(e{i} / a{i} - pow(b{i} / a{i}, 2), 0)), 1e-3) AS s{i}' for i in part)} FROM u{r})")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS part, {_r(f'w{i}', 'weight', 6)}, {_r(f'm{i}', 'mean', 6)}, {_r(f's{i}', 'sd', 6)} FROM p{rounds}" for i in part)
+
+
 _PTS = "p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 20 AS y, CAST(p_partkey % 40 AS DOUBLE) AS z FROM part), d AS (SELECT a.id AS id, b.id AS id2, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM p a JOIN p b ON a.id <> b.id AND a.x BETWEEN b.x - 4 AND b.x + 4)"
 _EIGHT = "(VALUES (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)) AS o(dx, dy)"
 
@@ -172,4 +186,8 @@ ORACLE_SQL = {
     "mask_difference": f"WITH {_IMG} SELECT y, count(*) AS n FROM img WHERE v > 0.1 AND NOT v > 0.2 GROUP BY y",
     "mask_symmetric_difference": f"WITH {_IMG} SELECT y, count(*) AS n FROM img WHERE (v > 0.1) <> (v < 0.2) GROUP BY y",
     "kmeans_1d": _kmeans_sql(4),
+    "gaussian_mixture_1d": _mixture_sql(3, 5),
+    "anchor_groups": """WITH RECURSIVE g AS (SELECT user_id, min(value) AS anchor, CAST(0 AS INTEGER) AS grp FROM events GROUP BY user_id
+            UNION ALL SELECT g.user_id AS user_id, min(e.value) AS anchor, any_value(g.grp) + 1 AS grp FROM g JOIN events e ON e.user_id = g.user_id AND e.value - g.anchor > 3.0 GROUP BY g.user_id)
+        SELECT user_id, max(grp) + 1 AS groups FROM g GROUP BY user_id""",
 }

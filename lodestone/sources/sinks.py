@@ -9,9 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header."""
-    df.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
+def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV with a header, which starts with a byte order mark by default."""
+    named = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if mark else df
+    named.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
+
+
+def results_document(parts: dict[str, DataFrame], rows: int = 1_000) -> DataFrame:
+    """One row with a nested document of small result tables (at most `rows` rows each, else an error)."""
+    out = None
+    for name, df in parts.items():
+        if df.limit(rows + 1).count() > rows:
+            raise ValueError(f"{name} has over {rows} rows")
+        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        out = one if out is None else out.join(one)
+    return out.select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
