@@ -397,10 +397,10 @@ def _tasks(members: DataFrame, weight: Column) -> DataFrame:
 
 def _with_texts(base: DataFrame, uses: DataFrame, columns: list[str]) -> DataFrame:
     """node, text and `columns` of uses, whose rows name a text by id, len and crc. Each text is sent once for all its uses."""
-    wanted = common.materialize(uses.groupBy("node", F.col("id").alias("of"), F.col("len").alias("of_len"), F.col("crc").alias("of_crc")).agg(F.collect_list(F.struct(*columns)).alias("uses")))
+    wanted = common.materialize(uses.groupBy("node", F.col("id").alias("of"), F.col("len").alias("of_len"), F.col("crc").alias("of_crc")).agg(F.collect_list(F.struct(F.lit(0).alias("use"), *columns)).alias("uses")))
     maybe = bloom.marked(base, F.xxhash64("id", "len", "crc"), wanted, F.xxhash64("of", "of_len", "of_crc"), "maybe").where("maybe")
     same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("id", "of"), ("len", "of_len"), ("crc", "of_crc"))]
-    return maybe.join(wanted, same).select("node", "id", "len", "crc", "text", F.explode("uses").alias("use")).select("node", "id", "len", "crc", "text", "use.*")
+    return maybe.join(wanted, same).select("node", "text", F.explode("uses").alias("x")).select("node", "text", *[f"x.{c}" for c in columns])
 
 
 def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFrame:
@@ -431,7 +431,16 @@ def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFra
     members = groups.union(groups.select("root", "root").distinct()).toDF("node", "region").join(first.select("node", "id", "len", "crc"), "node").withColumn("label", F.col("node"))
     names = ["region", "node", "label", "id", "len", "crc"]
     by_text = measured(_by_text(size, percent), [*names, "text"])
-    open_, edges = _split_by_pivots(members.select(*names), F.col("len"), lambda rows: _with_texts(base, rows, ["region", "label", "block", "first"]).groupBy("region", "block").applyInArrow(*by_text).drop("text"))
+    kept: list[DataFrame] = []
+
+    def measured_texts(rows: DataFrame) -> DataFrame:
+        if not kept:  # later rounds have no other texts than the first one
+            found = _with_texts(base, rows.select("node", "id", "len", "crc").distinct(), []).groupBy("node", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+            kept.append(common.materialize(found.select("node", "text")))
+        return rows.join(kept[0], "node").groupBy("region", "block").applyInArrow(*by_text)
+
+    open_, edges = _split_by_pivots(members.select(*names), F.col("len"), measured_texts)
+    common.release(*kept)
     sent = _with_texts(base, _tasks(open_, F.col("len")), ["task"])
     return _all(sent.groupBy("task").applyInArrow(_join_block(size, percent), "a long, b long"), edges)
 
