@@ -47,6 +47,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
+#: Hashes of what is copied, and the documents it is copied from.
+Copies = tuple[np.ndarray, np.ndarray]
+
+
 class Parser:
     """Anchors, blocks and windows of documents."""
 
@@ -78,22 +82,22 @@ class Parser:
         at = np.flatnonzero(np.isin(anchor, open_anchors))
         return anchor[at], self.rolling.runs(prefix, at, at + self.size)
 
-    def sources(self, raw: bytes, whole: dict[int, int], single: dict[int, int]) -> np.ndarray:
+    def sources(self, raw: bytes, whole: Copies, single: Copies) -> np.ndarray:
         """Which document each window is copied from, by its anchor in `whole` or its hash in `single`; -1 for none."""
         anchor, prefix = self.anchors(raw)
         found = _looked_up(anchor, whole)
-        if single and len(found):
+        if len(single[0]) and len(found):
             at = np.flatnonzero(found < 0)
             found[at] = _looked_up(self.rolling.runs(prefix, at, at + self.size), single)
         return found
 
 
-def _looked_up(keys: np.ndarray, table: dict[int, int]) -> np.ndarray:
-    if not table or not len(keys):
+def _looked_up(keys: np.ndarray, table: Copies) -> np.ndarray:
+    if not len(table[0]) or not len(keys):
         return np.full(len(keys), -1, np.int64)
-    known = np.array(list(table), np.int64).view(np.uint64)
+    known = table[0].view(np.uint64)
     order = np.argsort(known)
-    known, values = known[order], np.array(list(table.values()), np.int64)[order]
+    known, values = known[order], table[1][order]
     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
     return np.where(known[at] == keys, values[at], -1)
 
@@ -122,6 +126,13 @@ def _keys(x) -> np.ndarray:
     return np.array(x or (), np.int64).view(np.uint64)
 
 
+def _copies(column: pa.ListArray, key: str) -> Iterator[Copies]:
+    """Each row's structs as two arrays."""
+    ends, values = column.offsets.to_numpy(), column.values
+    keys, sources = (values.field(f).to_numpy(zero_copy_only=False) for f in (key, "source"))
+    yield from ((keys[a:b], sources[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+
 def _emit(size: int, names: tuple[str, ...], fn):
     """A mapInArrow function: fn(parser, raw text, *columns) gives two hash arrays; rows are (id, row, first, second)."""
     schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64())])
@@ -158,7 +169,8 @@ def parsed(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: st
     near = bloom.marked(base, F.col("row"), open_, F.col("row"), "maybe").where("maybe").drop("maybe").join(open_, "row")
     windows = common.materialize(near.mapInArrow(_emit(size, ("open",), lambda p, w, o: p.windows(w, _keys(o))), _ROWS))
     index = windows.groupBy("anchor", "content").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("anchor", "content", "source")
-    copied = windows.join(index, ["anchor", "content"]).where("id > source").groupBy("row").agg(F.collect_set(F.struct("content", "source")).alias("single"))
+    copied = common.materialize(windows.join(index, ["anchor", "content"]).where("id > source").groupBy("row").agg(F.collect_set(F.struct("content", "source")).alias("single")))
+    common.release(windows)
     # Only rows that may copy something are sent to what they copy.
     flagged = bloom.marked(base, F.col("row"), routed, F.col("row"), "maybe")
     alone = flagged.where("not maybe").drop("maybe").select("id", "text", *[F.lit(None).cast(t).alias(n) for n, t in (("whole", "array<struct<anchor:long,source:long>>"), ("single", "array<struct<content:long,source:long>>"))])
@@ -183,14 +195,21 @@ def duplicate_spans(docs: DataFrame, size: int = 50, id_col: str = "doc_id", tex
 
         def row(id_, text, whole, single):
             id_, words = None if id_ == NO_ID else id_, _words(text)
-            if len(words) < size or not (whole or single):
+            if len(words) < size or not len(whole[0]) + len(single[0]):
                 return id_, len(words), 0, [], [], b" ".join(words).decode()
-            factors = factors_of(parser.sources(text.encode(), {x["anchor"]: x["source"] for x in whole or ()}, {x["content"]: x["source"] for x in single or ()}), size)
+            factors = factors_of(parser.sources(text.encode(), whole, single), size)
             covered = covered_by(factors, len(words))
             kept = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
             return id_, len(words), len(words) - len(kept), [{"a": a, "b": b, "source": s} for a, b, s in factors], [{"a": a, "b": b} for a, b in spans_of(covered)], b" ".join(kept).decode()
 
-        return common.row_batches((row(*r) for r in common.rows_of(batches, "id", "text", "whole", "single")), schema, 500)
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    piece = batch.slice(k, 256)
+                    copies = (_copies(piece["whole"], "anchor"), _copies(piece["single"], "content"))
+                    yield from (row(*r) for r in zip(piece["id"].to_pylist(), piece["text"].to_pylist(), *copies, strict=True))
+
+        return common.row_batches(rows(), schema, 500)
 
     return parsed(docs, size, id_col, text_col).mapInArrow(run, "id long, n_words long, n_removed long, factors array<struct<a:int,b:int,source:long>>, spans array<struct<a:int,b:int>>, kept_text string")
 
