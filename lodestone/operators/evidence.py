@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions
 from ..functions.proportions import Z95, clip01, double_arcsine, from_double_arcsine, log_ratio_error
+from .ranking import quantiles
 
 
 def proportion_effects(studies: DataFrame, p: str = "p", n: str = "n") -> DataFrame:
@@ -193,8 +194,11 @@ def funnel(effects: DataFrame) -> DataFrame:
 
 def describe(rows: DataFrame, column: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """n, median, mean, min, max, sum of a column read as numbers; what isn't a number is left out."""
-    x = F.col(column).try_cast("double")
-    return rows.groupBy(*by).agg(F.count(x).alias("n"), F.median(x).alias("median"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("sum"))
+    x = F.col("_x")
+    rows = rows.select(*by, F.col(column).try_cast("double").alias("_x"))
+    sums = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("sum"))
+    middle = quantiles(rows, "_x", [0.5], by).withColumnRenamed("q0", "median")
+    return sums.join(middle, by or None, "left").select(*by, "n", "median", "mean", "min", "max", "sum")
 
 
 def value_counts(rows: DataFrame, column: str, sep: str | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import quantiles
+
 
 def as_grid(rows: DataFrame, y: str, values: str) -> DataFrame:
     """Rows of an array column as cells (y, x, v)."""
@@ -148,18 +150,18 @@ def joint_information(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def normalise(rows: DataFrame, v: str, how: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Adds `z`: 'minmax' or 'zscore' by group (population deviation); flat groups get 0."""
-    over = Window.partitionBy(*by)
-    if how == "minmax":
-        low, width = F.min(v).over(over), F.max(v).over(over) - F.min(v).over(over)
-    else:
-        low, width = F.avg(v).over(over), F.stddev_pop(v).over(over)
-    return rows.withColumn("z", F.when(width > 1e-8, (F.col(v) - low) / width).otherwise(0.0))
+    """Adds `z`: 'minmax' or 'zscore' by group (population deviation); flat groups get 0. Each group's two numbers come
+    from one sum by key and are joined back; rows without a group's key have no z."""
+    ends = (F.min(v), F.max(v) - F.min(v)) if how == "minmax" else (F.avg(v), F.stddev_pop(v))
+    bounds = rows.groupBy(*by).agg(ends[0].alias("_low"), ends[1].alias("_width"))
+    joined = rows.join(bounds, by, "left") if by else rows.join(F.broadcast(bounds))
+    z = F.when(F.col("_width") > 1e-8, (F.col(v) - F.col("_low")) / F.col("_width")).otherwise(0.0)
+    return joined.withColumn("z", z).select(*rows.columns, "z")
 
 
 def clip_percentiles(rows: DataFrame, v: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Adds `z`: the value cut to two exact percentiles and scaled to [0, 1]."""
-    ends = rows.agg(F.percentile(v, F.lit(low)).alias("_lo"), F.percentile(v, F.lit(high)).alias("_hi"))
+    ends = quantiles(rows, v, [low, high]).toDF("_lo", "_hi")
     cut = F.least(F.greatest(F.col(v), F.col("_lo")), F.col("_hi"))
     return rows.join(F.broadcast(ends)).withColumn("z", F.when(F.col("_hi") - F.col("_lo") > 1e-8, (cut - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
 

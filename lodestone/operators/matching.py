@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,12 +41,15 @@ def bracket(left: DataFrame, right: DataFrame, by: list[str], at: str, value: st
     return both.where("_side = 1").withColumn(value, F.coalesce(lo["y"] + share * (hi["y"] - lo["y"]), lo["y"], hi["y"])).select(*left.columns, value)
 
 
-def nearest(rows: DataFrame, palette: DataFrame, key: str, distance: Column, index: str) -> DataFrame:
-    """Each row with the nearest entry of a palette, the first of equals. The palette must be small; its size is checked (at most 65,536 entries)."""
+def nearest(rows: DataFrame, palette: DataFrame, distance: Callable[[Column], Column], index: str) -> DataFrame:
+    """Each row with the nearest entry of a palette (index and distance), the first of equals. distance() gets an entry as
+    a struct. The palette goes to each row as one array, without a join of pairs or a shuffle; its size is checked (at
+    most 65,536 entries)."""
     if palette.limit(65_537).count() > 65_536:
         raise ValueError("the palette has over 65,536 entries")
-    paired = rows.join(F.broadcast(palette))
-    return paired.groupBy(key).agg(F.min_by(index, F.struct(distance, index)).alias(index), F.min(distance).alias("distance"))
+    entries = F.broadcast(palette.agg(F.collect_list(F.struct(*palette.columns)).alias("_entries")))
+    best = F.array_min(F.transform("_entries", lambda e: F.struct(distance(e).alias("distance"), e[index].alias("index"))))
+    return rows.join(entries).withColumn("_best", best).select(*rows.columns, F.col("_best.index").alias(index), F.col("_best.distance").alias("distance"))
 
 
 def nearest_on_line(rows: DataFrame, palette: DataFrame, key: str, at: str, index: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .images import box_mean
+from .ranking import quantiles
 
 
 def structural_similarity(pairs: DataFrame, radius: int = 3, peak: float = 1.0) -> DataFrame:
@@ -38,7 +39,7 @@ def hausdorff_95(a: DataFrame, b: DataFrame, frame: DataFrame) -> DataFrame:
     """95th percentile (linear) of the distances of all cells of each mask to the other; 0 if both are empty, infinite if one is."""
     both = squared_distances(a, b, frame).union(squared_distances(b, a, frame))
     sizes = a.agg(F.count("*").alias("na")).join(b.agg(F.count("*").alias("nb")))
-    out = both.agg(F.percentile(F.sqrt("d2"), F.lit(0.95)).alias("p")).join(sizes)
+    out = sizes.join(quantiles(both.select(F.sqrt("d2").alias("d")), "d", [0.95]).toDF("p"), how="left")
     empty = F.when((F.col("na") == 0) & (F.col("nb") == 0), 0.0).when((F.col("na") == 0) | (F.col("nb") == 0), F.lit(float("inf")))
     return out.select(F.coalesce(empty, "p").alias("hd95"))
 

@@ -28,8 +28,7 @@ def quantised(spark, sf_dir):
     rows = rows.select("key", *[c.alias(n) for c, n in zip(colour.lab(*_rgb()), ("l", "a", "b"), strict=True)])
     palette = spark.range(16).select(F.col("id").alias("entry"), (F.col("id") * 17 + 3).alias("pkey"))
     palette = palette.select("entry", *[c.alias(n) for c, n in zip(colour.lab(*_rgb("p")), ("pl", "pa", "pb"), strict=True)])
-    d = F.round(colour.delta_e(tuple(map(F.col, "lab")), (F.col("pl"), F.col("pa"), F.col("pb"))), 9)
-    return matching.nearest(rows, palette, "key", d, "entry").select("key", "entry")
+    return matching.nearest(rows, palette, lambda e: F.round(colour.delta_e(tuple(map(F.col, "lab")), (e["pl"], e["pa"], e["pb"])), 9), "entry").select("key", "entry")
 
 
 def mesh_edges(spark, sf_dir):

@@ -1,5 +1,7 @@
 """Grids, components, meshes, files and streams on small fixtures with known answers."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from lodestone.functions import colour
 from lodestone.operators import connected as C  # noqa: N812
 from lodestone.operators import images as I  # noqa: E741, N812
 from lodestone.operators import matching, meshes, tomography
+from lodestone.operators.ranking import quantiles
 from lodestone.sources import files, sinks
 from lodestone.streaming import events
 
@@ -74,8 +77,16 @@ def test_palette_maps_to_itself(spark):
     p = spark.createDataFrame(colours, "entry int, r double, g double, b double")
     rows = p.select(F.col("entry").alias("key"), *[c.alias(n) for c, n in zip(colour.lab(F.col("r"), F.col("g"), F.col("b")), ("l", "a2", "b2"), strict=True)])
     pal = p.select("entry", *[c.alias(n) for c, n in zip(colour.lab(F.col("r"), F.col("g"), F.col("b")), ("pl", "pa", "pb"), strict=True)])
-    d = colour.delta_e((F.col("l"), F.col("a2"), F.col("b2")), (F.col("pl"), F.col("pa"), F.col("pb")))
-    assert all(r["key"] == r["entry"] and r["distance"] < 1e-9 for r in matching.nearest(rows, pal, "key", d, "entry").collect())
+    d = lambda e: colour.delta_e((F.col("l"), F.col("a2"), F.col("b2")), (e["pl"], e["pa"], e["pb"]))
+    assert all(r["key"] == r["entry"] and r["distance"] < 1e-9 for r in matching.nearest(rows, pal, d, "entry").collect())
+
+
+def test_quantiles(spark):
+    rng = random.Random(1)
+    rows = [(k % 3, rng.random()) for k in range(500)] + [(7, 2.5), (8, None)]
+    got = {r["k"]: (r["q0"], r["q1"], r["q2"]) for r in quantiles(spark.createDataFrame(rows, "k int, v double").repartition(5), "v", [0.0, 0.37, 1.0], ["k"]).collect()}
+    want = {k: tuple(np.quantile([v for h, v in rows if h == k], [0.0, 0.37, 1.0])) for k in (0, 1, 2, 7)}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_bayer(spark):
