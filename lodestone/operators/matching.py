@@ -17,25 +17,37 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return p.join(r, "_b").where(F.col(at).between(F.col(low), F.col(high))).drop("_b")
 
 
+def _dealt(left: DataFrame, right: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Both sides' rows by ranges of key and place, saved, so that not even one key with most rows makes a large range."""
+    both = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    return saved(both.repartitionByRange(*by, at, "_side").withColumn("_part", F.spark_partition_id()))
+
+
+def _carried(dealt: DataFrame, by: list[str], at: str, value: Column, name: str, back: bool = False) -> DataFrame:
+    """Adds the last value at or before each row among its key's rows, or with `back` the first one at or after it. What a
+    range doesn't have comes from the ranges before it (or after it): one row for each key that a range has."""
+    way = F.desc if back else F.asc
+    here = F.last(value, True).over(Window.partitionBy("_part", *by).orderBy(way(at), "_side").rowsBetween(Window.unboundedPreceding, 0))
+    pick = F.min if back else F.max
+    ends = dealt.groupBy("_part", *by).agg(pick(F.when(value.isNotNull(), F.struct(F.col(at).alias("at"), value.alias("value")))).alias("_end"))
+    others = F.last("_end", True).over(Window.partitionBy(*by).orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1))
+    found = dealt.withColumn("_here", here).join(ends.select("_part", *by, others.alias("_other")), ["_part", *by], "left")
+    return found.withColumn(name, F.coalesce("_here", "_other.value")).drop("_here", "_other")
+
+
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], prefix: str = "r_") -> DataFrame:
     """Each left row with the last right row of its key at or before its time: one sort of both by key and time, no pairing."""
-    a = left.withColumn("_side", F.lit(1))
-    b = right.select(*by, at, *[F.col(v).alias(prefix + v) for v in values], F.col(at).alias(prefix + at)).withColumn("_side", F.lit(0))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_side") == 0, F.struct(*[prefix + v for v in values], prefix + at)), ignorenulls=True).over(w)
-    out = both.withColumn("_last", last).where("_side = 1")
-    return out.select(*left.columns, *[F.col(f"_last.{prefix}{v}").alias(prefix + v) for v in [*values, at]])
+    names = [*(prefix + v for v in values), prefix + at]
+    dealt = _dealt(left, right.select(*by, at, *[F.col(v).alias(prefix + v) for v in values], F.col(at).alias(prefix + at)), by, at)
+    out = _carried(dealt, by, at, F.when(F.col("_side") == 0, F.struct(*names)), "_last").where("_side = 1")
+    return out.select(*left.columns, *[F.col(f"_last.{n}").alias(n) for n in names])
 
 
 def bracket(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
     """Linear interpolation of the right side's value at each left place; the nearest value beyond the ends."""
-    a = left.withColumn("_side", F.lit(1))
-    b = right.select(*by, at, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(at, "_side")
+    dealt = _dealt(left, right.select(*by, at, F.col(value).alias("_v")), by, at)
     knot = F.when(F.col("_side") == 0, F.struct(F.col(at).alias("x"), F.col("_v").alias("y")))
-    both = both.withColumns({"_lo": F.last(knot, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_hi": F.first(knot, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    both = _carried(_carried(dealt, by, at, knot, "_lo"), by, at, knot, "_hi", back=True)
     lo, hi = F.col("_lo"), F.col("_hi")
     share = F.when(hi["x"] > lo["x"], (F.col(at) - lo["x"]) / (hi["x"] - lo["x"])).otherwise(0.0)
     return both.where("_side = 1").withColumn(value, F.coalesce(lo["y"] + share * (hi["y"] - lo["y"]), lo["y"], hi["y"])).select(*left.columns, value)

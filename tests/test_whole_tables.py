@@ -64,3 +64,27 @@ def test_nearest_on_line(spark):
     assert len(got) == len(rows) and {r["id"]: (r["distance"], r["entry"]) for r in got} == want
     none = matching.nearest_on_line(spark.createDataFrame(rows[:3], "id long, at double"), spark.createDataFrame([], "entry long, at double"), "id", "at", "entry").collect()
     assert [r["entry"] for r in none] == [None] * 3
+
+
+def test_one_key_over_many_ranges(spark):
+    """Nearly all rows have one key; its values are carried from range to range both ways."""
+    left = [(0 if k % 50 else 1 + k % 3, float(k * 7 % 4001)) for k in range(3000)] + [(9, 1.0), (None, 2.0)]
+    right = [(0, float(k * 400), k) for k in range(1, 9)] + [(1, 5.0, 77)]
+    a, b = spark.createDataFrame(left, "k int, t double"), spark.createDataFrame(right, "k int, t double, v int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        last = matching.as_of(a, b, ["k"], "t", ["v"]).collect()
+        line = matching.bracket(a, b.select("k", "t", (b["v"] * 10.0).alias("y")), ["k"], "t", "y").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(last) == len(line) == len(left)
+    for r in last:
+        before = [(t, v) for k, t, v in right if k == r["k"] and t <= r["t"]]
+        assert r["r_v"] == (max(before)[1] if before else None)
+    for r in line:
+        knots = sorted((t, v * 10.0) for k, t, v in right if k == r["k"])
+        if not knots:
+            assert r["y"] is None
+            continue
+        lo, hi = max((x for x in knots if x[0] <= r["t"]), default=knots[0]), min((x for x in knots if x[0] >= r["t"]), default=knots[-1])
+        assert r["y"] == pytest.approx(lo[1] + ((r["t"] - lo[0]) / (hi[0] - lo[0]) if hi[0] > lo[0] else 0) * (hi[1] - lo[1]))
