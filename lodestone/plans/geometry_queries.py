@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import connected as C  # noqa: N812
 from ..operators import geometry as G  # noqa: N812
-from ..operators import meshes
+from ..operators import kernels, meshes
 from ..operators import voxels as V  # noqa: N812
 from .evidence_queries import rounded
 from .image_queries import _IMG, _r, image
@@ -91,8 +92,19 @@ def hot_region(spark, sf_dir):
     return C.touching(parts, parts.where(seed), V.AXES).join(box.select(*V.AXES), V.AXES, "left_semi").select(*V.AXES)
 
 
+def planar_diameters(spark, sf_dir):
+    """Longest distance between the points of a brand, and the extent perpendicular to it."""
+    p = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 7).alias("y"))
+
+    def measure(group: pd.DataFrame) -> pd.DataFrame:
+        longest, across = kernels.diameters(group[["x", "y"]].to_numpy())
+        return pd.DataFrame([(group["p_brand"].iloc[0], longest, across)], columns=["p_brand", "longest", "across"])
+
+    return rounded(p.groupBy("p_brand").applyInPandas(measure, "p_brand string, longest double, across double"), 6)
+
+
 QUERIES = {
-    "contour_segments": contours, "polygon_areas": polygon_areas, "infill_lines": infill, "polygon_cells": polygon_cells, "vertex_normals": vertex_normals, "mesh_taubin": taubin, "voxel_boxes": boxed,
+    "planar_diameters": planar_diameters, "contour_segments": contours, "polygon_areas": polygon_areas, "infill_lines": infill, "polygon_cells": polygon_cells, "vertex_normals": vertex_normals, "mesh_taubin": taubin, "voxel_boxes": boxed,
     "sweep_diameters": diameters, "hessian_eigenvalues": hessian, "two_stage": staged, "grown_statistics": grown, "share_histogram": binned, "hot_region": hot_region,
 }
 
@@ -128,6 +140,8 @@ ORACLE_SQL = {
         m AS (SELECT *, [[x + 0.5e0, y], [x + 1.0e0, y + 0.5e0], [x + 0.5e0, y + 1.0e0], [x + 0.0e0, y + 0.5e0]] AS e, list_filter([CASE WHEN a <> b THEN 1 END, CASE WHEN b <> c THEN 2 END, CASE WHEN c <> d THEN 3 END, CASE WHEN d <> a THEN 4 END], lambda k: k IS NOT NULL) AS k FROM q),
         n AS (SELECT e, unnest(CASE len(k) WHEN 2 THEN [k] WHEN 4 THEN CASE WHEN a THEN [[1, 4], [2, 3]] ELSE [[1, 2], [3, 4]] END ELSE [] END) AS s FROM m), g AS (SELECT e[s[1]] AS p, e[s[2]] AS r FROM n)
         SELECT CAST(floor(least(p[2], r[2])) AS BIGINT) AS y, count(*) AS n, {_r('sum(sqrt(pow(p[1] - r[1], 2) + pow(p[2] - r[2], 2)))', 'length', 6)}, {_r('sum(p[1] + r[1])', 'places', 6)} FROM g GROUP BY 1""",
+    "planar_diameters": f"""WITH p AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS x, p_retailprice / 7 AS y FROM part), d AS (SELECT a.p_brand AS p_brand, b.x - a.x AS dx, b.y - a.y AS dy, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d FROM p a JOIN p b USING (p_brand) QUALIFY row_number() OVER (PARTITION BY a.p_brand ORDER BY d DESC, a.x, a.y) = 1)
+        SELECT p_brand, {_r('any_value(d)', 'longest', 6)}, {_r('max((x * -dy + y * dx) / d) - min((x * -dy + y * dx) / d)', 'across', 6)} FROM p JOIN d USING (p_brand) GROUP BY p_brand""",
     "polygon_areas": f"WITH {_POLY} SELECT poly, {_r('sum((x1 - x0) * (y0 + y1)) / -2', 'area', 7)}, {_r('sum(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)))', 'outline', 7)} FROM s GROUP BY poly",
     "infill_lines": f"WITH {_POLY}, {_SPANS.format(s='1.3e0', o='0.0e0')} SELECT poly, count(*) AS lines, {_r('sum(x1 - x0)', 'length', 6)} FROM u GROUP BY poly",
     "polygon_cells": f"""WITH {_POLY}, b AS (SELECT poly, floor(min(x)) AS lx, floor(max(x)) AS hx, floor(min(y)) AS ly, floor(max(y)) AS hy FROM p GROUP BY poly), r AS (SELECT poly, unnest(range(CAST(lx AS BIGINT), CAST(hx AS BIGINT) + 1)) AS x, ly, hy FROM b), g AS (SELECT poly, x, unnest(range(CAST(ly AS BIGINT), CAST(hy AS BIGINT) + 1)) AS y FROM r),
