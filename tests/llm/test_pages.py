@@ -170,3 +170,13 @@ def test_the_exact_join_removes_what_a_full_filter_lets_through(spark):
     got = urls.listed_hits(pages, listed, blocks=1)
     assert got.columns == [*pages.columns, "listed"]
     assert sorted(tuple(r) for r in got.collect()) == [(k, f"p{k}.org/", k, -k, "a", k < 50) for k in range(400)]
+
+
+def test_clashing_columns_and_long_values(spark, model):
+    rows = [(1, "http://a.com/en/" + "x" * 100_000, "<article><p>some words to read</p></article>"), (1, "", ""), (None, None, None), (1, "http://a.com/en/" + "x" * 100_000, "<article><p>some words to read</p></article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as id", "'t' as text", "2 as n_chars", "'h' as host", "'p' as path", "'c' as canon", "true as listed", "'r' as rule", "3 as maybe", "4 as hit", "5 as block")
+    got = sorted((r["id"] or 0, r["text"], r["n_chars"]) for r in html_extract.extract(pages, model).collect())
+    assert got == [(0, "", 0), (1, "", 0), (1, "some words to read", 18), (1, "some words to read", 18)]
+    listed = spark.createDataFrame([("a.com/en/" + "x" * 100_000,)], "canon string")
+    found = sorted((r["id"] or 0, r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in urls.judge(pages, listed, [("allow", "net", "/de/")]).collect())
+    assert found == [(0, "", 0, None, "allow"), (1, "", 0, None, "allow"), (1, "a.com", 100_004, None, "block"), (1, "a.com", 100_004, None, "block")]
