@@ -180,3 +180,70 @@ def test_clashing_columns_and_long_values(spark, model):
     listed = spark.createDataFrame([("a.com/en/" + "x" * 100_000,)], "canon string")
     found = sorted((r["id"] or 0, r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in urls.judge(pages, listed, [("allow", "net", "/de/")]).collect())
     assert found == [(0, "", 0, None, "allow"), (1, "", 0, None, "allow"), (1, "a.com", 100_004, None, "block"), (1, "a.com", 100_004, None, "block")]
+
+
+def test_extraction_by_enumeration(model):
+    """Small pages read by the standard parser, all assignments of content and boilerplate weighed, and the text put
+    together from the likely elements, against the extractor."""
+    import itertools
+    import math
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.tags, self.parents, self.pieces, self.open = ["html"], [-1], [], [0]
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("a", "b", "em"):
+                self.pieces.append((0, None))
+            self.tags.append(tag)
+            self.parents.append(self.open[-1])
+            self.open.append(len(self.tags) - 1)
+
+        def handle_endtag(self, tag):
+            if tag not in ("a", "b", "em"):
+                self.pieces.append((0, None))
+            self.open.pop()
+
+        def handle_data(self, data):
+            self.pieces.append((self.open[-1], data))
+
+    rng = random.Random(21)
+
+    def element(depth):
+        tag = rng.choice(["div", "section", "nav", "ul", "article"] if depth else ["p", "p", "h2", "li", "b", "a"])
+        name = rng.choice(["", "", ' class="menu"', ' id="content"', " class='ad box'"])
+        inside = "".join(element(depth - 1) for _ in range(rng.randint(1, 2))) if depth else " ".join("word" for _ in range(rng.randint(1, 30))) + rng.choice(["", " &amp; more", "\n text"])
+        return f"<{tag}{name}>{inside}</{tag}>"
+
+    seen_text = 0
+    for _ in range(40):
+        page = "".join(element(rng.randint(1, 2)) for _ in range(2))
+        tree, dom = Tree(), html_extract.Dom(page)
+        tree.feed(page)
+        assert (dom.tags, dom.parents) == (tree.tags, tree.parents)
+        seen, n = html_extract.evidence(dom), len(tree.tags)
+        if n > 13:
+            continue
+        kids = [tree.parents.count(p) for p in range(n)]
+        odds = []
+        for i, (kind, what) in enumerate(seen):
+            shared = html_extract.SIBLINGS / max(html_extract.SIBLINGS, kids[tree.parents[i]] if i else 1)
+            odds.append(sum(model.emit.get(html_extract._event(kind, s), 0.0) * (shared if model._weight(html_extract._event(kind, s)) < 1 else 1) for s in what))
+        total, content = 0.0, [0.0] * n
+        for ys in itertools.product((0, 1), repeat=n):
+            w = math.exp(sum(o * y for o, y in zip(odds, ys, strict=True)) + sum(model.pair.get(seen[i][0], model.any_pair)[ys[tree.parents[i]]][ys[i]] for i in range(1, n)))
+            total += w
+            content = [c + w * y for c, y in zip(content, ys, strict=True)]
+        blocks, held = [], []
+        for i, data in [*tree.pieces, (0, None)]:
+            if data is None:
+                blocks.append(re.sub(r"\s+", " ", "".join(held)).strip())
+                held = []
+            elif content[i] / total > 0.5:
+                held.append(data)
+        want = "\n".join(b for b in blocks if b)
+        assert model.extract(page) == want
+        seen_text += bool(want)
+    assert seen_text > 10
