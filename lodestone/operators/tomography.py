@@ -8,12 +8,19 @@ saved after each round.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import saved
 
+#: Cells of an image that is sent to all tasks and held by the driver at most.
+IN_MEMORY = 1 << 20
+
 
 def system_matrix(spark: SparkSession, size: int, angles: int) -> DataFrame:
     """(angle, det, x, y, w) for parallel rays over 180 degrees, one detector a pixel, samples one pixel apart, the centre at (size - 1) / 2."""
@@ -37,8 +44,66 @@ def back_project(matrix: DataFrame, sinogram: DataFrame) -> DataFrame:
 
 
 def mlem(matrix: DataFrame, sinogram: DataFrame, rounds: int, subsets: int = 1) -> DataFrame:
-    """Maximum-likelihood EM (with subsets of angles: OSEM) from an image of ones; sensitivities are at least 1e-10."""
+    """Maximum-likelihood EM (with subsets of angles: OSEM) from an image of ones; sensitivities are at least 1e-10. An image
+    of up to IN_MEMORY cells is sent to the rays, which are packed by angle; a larger one is joined with them."""
     matrix = saved(matrix)
+    if matrix.select("x", "y").distinct().limit(IN_MEMORY + 1).count() <= IN_MEMORY:
+        return _packed_mlem(matrix, sinogram, rounds, subsets)
+    return _joined_mlem(matrix, sinogram, rounds, subsets)
+
+
+_PACKED = "angle int, ray binary, pixel binary, w binary, m binary"
+
+
+def _pack(width: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        det, x, y, w, m = (rows[c].to_numpy() for c in ("det", "x", "y", "w", "m"))
+        kinds, ray = np.unique(det, return_inverse=True)
+        counts = np.zeros(len(kinds))
+        counts[ray] = m
+        blobs = [ray.astype(np.int32), (y.astype(np.int64) * width + x).astype(np.int32), w.astype(float), counts]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["angle", "ray", "pixel", "w", "m"])
+
+    return run
+
+
+def _packed_mlem(matrix: DataFrame, sinogram: DataFrame, rounds: int, subsets: int) -> DataFrame:
+    spark = matrix.sparkSession
+    width, height = (n or 0 for n in matrix.agg(F.max("x") + 1, F.max("y") + 1).first())
+    known = matrix.select((F.col("y") * width + F.col("x")).alias("pixel")).distinct().toPandas()["pixel"].to_numpy()
+    rays = matrix.join(sinogram.select("angle", "det", F.col("p").alias("m")), ["angle", "det"])
+    packed = saved(rays.groupBy("angle").applyInArrow(_pack(width), _PACKED))
+    image = np.ones(width * height)
+
+    def gather(held):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            image = held.value
+            back, seen = np.zeros(len(image)), np.zeros(len(image))
+            for batch in batches:
+                for blobs in zip(*(batch[c] for c in ("ray", "pixel", "w", "m")), strict=True):
+                    ray, pixel, w, m = (np.frombuffer(x.as_buffer(), t) for x, t in zip(blobs, (np.int32, np.int32, float, float), strict=True))
+                    p = np.bincount(ray, w * image[pixel], len(m))
+                    ratio = np.divide(m, p, out=np.zeros(len(m)), where=p > 1e-10)
+                    back += np.bincount(pixel, w * ratio[ray], len(image))
+                    seen += np.bincount(pixel, w, len(image))
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(back[at]), pa.array(seen[at])], names=["pixel", "b", "s"])
+
+        return run
+
+    for _ in range(rounds):
+        for s in range(subsets):
+            part = packed.where(F.col("angle") % subsets == s) if subsets > 1 else packed
+            held = spark.sparkContext.broadcast(image)
+            got = part.mapInArrow(gather(held), "pixel long, b double, s double").groupBy("pixel").agg(F.sum("b").alias("b"), F.sum("s").alias("s")).toPandas()
+            image = image.copy()
+            at = got["pixel"].to_numpy()
+            image[at] *= got["b"].to_numpy() / np.maximum(got["s"].to_numpy(), 1e-10)
+            held.destroy()
+    return spark.createDataFrame(pd.DataFrame({"x": (known % max(width, 1)).astype(np.int32), "y": (known // max(width, 1)).astype(np.int32), "v": image[known]}), "x int, y int, v double")
+
+
+def _joined_mlem(matrix: DataFrame, sinogram: DataFrame, rounds: int, subsets: int) -> DataFrame:
     pixels = matrix.select("x", "y").distinct()
     image = pixels.withColumn("v", F.lit(1.0))
     for r in range(rounds):
