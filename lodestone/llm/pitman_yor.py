@@ -28,6 +28,7 @@ from __future__ import annotations
 import io
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -163,16 +164,17 @@ def _ratio(t: np.ndarray, n: np.ndarray, fresh: np.ndarray, own: np.ndarray, all
     return 4.0 * (n - t) / ((2.0 * n - t - 1) * t) * (fresh + HALF * t) * np.minimum((own + t) / (all_ + t), 1.0)
 
 
-# What documents are dealt as: blobs of compressed Arrow rows
+# What documents are dealt as: blobs of compressed Arrow rows, equal rows of a blob once with how often they stand
 
 
 def _deal(blocks: int) -> Callable:
-    kinds = pa.schema([("id", pa.int64()), ("text", pa.string()), ("learns", pa.bool_())])
+    kinds = pa.schema([("id", pa.int64()), ("text", pa.string()), ("learns", pa.bool_()), ("times", pa.int64())])
 
     def write(block: int, rows: list[pa.Table]) -> tuple:
         out = io.BytesIO()
+        once = pa.concat_tables(rows).group_by(["id", "text", "learns"], use_threads=False).aggregate([([], "count_all")])
         with pa.ipc.new_stream(out, kinds, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as to:
-            to.write_table(pa.concat_tables(rows).cast(kinds).combine_chunks())
+            to.write_table(once.rename_columns(kinds.names).cast(kinds).combine_chunks())
         return letter(block, "docs", 0, out.getvalue())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +205,15 @@ class Block:
 
     def __init__(self, docs: list[Letter], layout: Layout) -> None:
         self.layout = layout
-        ids, learns, tokens = [], [], []
+        ids, learns, times, tokens = [], [], [], []
         while docs:
             for b in pa.ipc.open_stream(docs.pop().blob):
-                for i, text, on in common.rows_of([b], "id", "text", "learns"):
+                for i, text, on, n in common.rows_of([b], "id", "text", "learns", "times"):
                     ids.append(i)
-                    learns.append(bool(on))
+                    times.append(n)
+                    learns.append(n if on else 0)
                     tokens.append(read_tokens(text))
-        self.ids, self.learns = ids, np.array(learns, bool)
+        self.ids, self.times, self.learns = ids, times, np.array(learns, np.int64)
         self.sizes = np.array([len(x) for x in tokens], np.int64)
         self.first = starts_of(self.sizes)
         tokens.append(np.array([START], U64))
@@ -234,13 +237,13 @@ class Block:
         self.order = np.argsort(self.to, kind="stable").astype(np.int32)
 
     def ask(self, key: int) -> Iterator[tuple]:
-        learns = np.repeat(self.learns, self.sizes)
-        n = np.bincount(self.pair[learns], minlength=len(self.u))
+        learns = np.repeat(self.learns, self.sizes).astype(float)
+        n = np.bincount(self.pair, learns, len(self.u)).astype(np.int64)
         u, w, n, to = self.words[self.u[self.order]], self.words[self.w[self.order]], n[self.order], self.to[self.order]
         for part, s in runs(to):
             first = np.flatnonzero(np.concatenate([[True], u[s][1:] != u[s][:-1]]))
             yield letter(part, "ask", key, pack(u[s][first], np.diff(np.append(first, s.stop - s.start)), w[s], n[s]))
-        c = np.bincount(self.word[learns], minlength=len(self.words))
+        c = np.bincount(self.word, learns, len(self.words)).astype(np.int64)
         c[0] = int(self.learns.sum())
         for shelf, s in runs(self.layout.shelf(self.words)):
             yield letter(shelf, "ask", key, pack(self.words[s], c[s]))
@@ -261,7 +264,9 @@ class Block:
         chance = chance / many + k / (2.0 * many) / customers[self.u]
         base = np.log10((c + 1.0) / (sums[0].tokens + sums[0].kinds + 1))
         total = lambda x: np.add.reduceat(x, self.first).tolist()
-        yield from zip(self.ids, self.sizes.tolist(), total((c > 0).astype(np.int64)[self.word]), total(base[self.word]), total(np.log10(chance)[self.pair]), strict=True)
+        rows = zip(self.ids, self.sizes.tolist(), total((c > 0).astype(np.int64)[self.word]), total(base[self.word]), total(np.log10(chance)[self.pair]), strict=True)
+        for row, n in zip(rows, self.times, strict=True):
+            yield from repeat(row, n)
 
 
 def _merged(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -421,7 +426,7 @@ def _frequent(docs: DataFrame, rows: int, parts: int) -> tuple[np.ndarray, np.nd
             w, n = np.unique(np.concatenate([np.zeros(0, U64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
 
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, rows // SAMPLE_DOCS))) == 0).select("text")
+    some = docs.where(F.rand(5) * rows < SAMPLE_DOCS).select("text")
     words = some.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = words.where(F.col("n") * 4 * parts > total).toPandas() if parts > 1 and total else None

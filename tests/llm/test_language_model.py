@@ -168,6 +168,19 @@ def test_frequent_contexts_are_shared(spark):
     assert {r["id"]: round(r["score"], 8) for r in one.collect()} == {r["id"]: round(r["score"], 8) for r in many.collect()}
 
 
+def test_equal_rows_are_dealt_once(spark):
+    """Two thirds of the rows are one row: a blob has it once, and all are counted and scored."""
+    rows = [(None, "same words again")] * 400 + [(k, f"other words {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = pitman_yor.score_corpus(docs, block_bytes=2_000).toPandas()
+    assert len(got) == 600 and got["id"].isna().sum() == 400 and got[got["id"].isna()]["score"].nunique() == 1
+    held_out = sum(held(k) for k in range(200))
+    assert set(got["train_tokens"]) == {4 * 400 + 4 * (200 - held_out)}
+    dealt = docs.selectExpr("doc_id as id", "text", "true as learns", "0 as block").mapInArrow(pitman_yor._deal(1), pitman_yor.mail.DDL)
+    sizes = [sum(b.num_rows for b in pitman_yor.pa.ipc.open_stream(r["blob"])) for r in dealt.collect()]
+    assert sum(sizes) <= 200 + len(sizes)
+
+
 def test_odd_tables(spark):
     clash = spark.createDataFrame([(1, "a b", 5, "k"), (2, None, 6, "l"), (1, "a b", 5, "k")], "doc_id long, text string, key int, block string")
     assert pitman_yor.score_corpus(clash).count() == 3
