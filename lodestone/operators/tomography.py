@@ -20,6 +20,8 @@ from .ranking import saved
 
 #: Cells of an image that is sent to all tasks and held by the driver at most.
 IN_MEMORY = 1 << 20
+#: Bytes that all tasks of a round together send back at most (two numbers a cell and task).
+SENT = 64 << 20
 
 
 def system_matrix(spark: SparkSession, size: int, angles: int) -> DataFrame:
@@ -72,8 +74,9 @@ def _packed_mlem(matrix: DataFrame, sinogram: DataFrame, rounds: int, subsets: i
     width, height = (n or 0 for n in matrix.agg(F.max("x") + 1, F.max("y") + 1).first())
     known = matrix.select((F.col("y") * width + F.col("x")).alias("pixel")).distinct().toPandas()["pixel"].to_numpy()
     rays = matrix.join(sinogram.select("angle", "det", F.col("p").alias("m")), ["angle", "det"])
-    packed = saved(rays.groupBy("angle").applyInArrow(_pack(width), _PACKED))
     image = np.ones(width * height)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, SENT // (16 * max(1, len(image)))))
+    packed = saved(rays.groupBy("angle").applyInArrow(_pack(width), _PACKED).repartition(tasks, "angle"))
 
     def gather(held):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +89,7 @@ def _packed_mlem(matrix: DataFrame, sinogram: DataFrame, rounds: int, subsets: i
                     ratio = np.divide(m, p, out=np.zeros(len(m)), where=p > 1e-10)
                     back += np.bincount(pixel, w * ratio[ray], len(image))
                     seen += np.bincount(pixel, w, len(image))
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(back[at]), pa.array(seen[at])], names=["pixel", "b", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([back.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["b", "s"])
 
         return run
 
@@ -95,10 +97,9 @@ def _packed_mlem(matrix: DataFrame, sinogram: DataFrame, rounds: int, subsets: i
         for s in range(subsets):
             part = packed.where(F.col("angle") % subsets == s) if subsets > 1 else packed
             held = spark.sparkContext.broadcast(image)
-            got = part.mapInArrow(gather(held), "pixel long, b double, s double").groupBy("pixel").agg(F.sum("b").alias("b"), F.sum("s").alias("s")).toPandas()
-            image = image.copy()
-            at = got["pixel"].to_numpy()
-            image[at] *= got["b"].to_numpy() / np.maximum(got["s"].to_numpy(), 1e-10)
+            got = part.coalesce(tasks).mapInArrow(gather(held), "b binary, s binary").collect()
+            back, seen = (sum((np.frombuffer(r[k]) for r in got), np.zeros(len(image))) for k in ("b", "s"))
+            image = np.where(seen > 0, image * back / np.maximum(seen, 1e-10), image)
             held.destroy()
     return spark.createDataFrame(pd.DataFrame({"x": (known % max(width, 1)).astype(np.int32), "y": (known // max(width, 1)).astype(np.int32), "v": image[known]}), "x int, y int, v double")
 
