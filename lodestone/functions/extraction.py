@@ -28,16 +28,25 @@ def tags(text: Column, entries: dict[str, list[str]], none: str) -> Column:
     return F.when(found == "", F.lit(none)).otherwise(found)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def occurrences(text: Column, pattern: str) -> Column:
     """Places of a pattern (that never matches nothing) in order: structs of `at` (from 0) and `hit`, the matched text."""
-    hits = F.regexp_extract_all(text, F.lit(FOLD + pattern), F.lit(0))
-    gaps = F.transform(F.split(text, FOLD + pattern, -1), F.char_length)
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")),
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,hit:string>>").alias("places")),
-        lambda seen, x: F.struct((seen["end"] + x["gap"] + F.char_length(x["hit"])).alias("end"), F.concat(seen["places"], F.array(F.struct((seen["end"] + x["gap"]).alias("at"), x["hit"].alias("hit")))).alias("places")),
-    )
-    return F.when(F.size(hits) > 0, walked["places"]).otherwise(F.array().cast("array<struct<at:int,hit:string>>"))
+    none = F.array().cast("array<struct<at:int,hit:string>>")
+
+    def places(hits: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, FOLD + pattern, -1), F.char_length), 1, F.size(hits))
+        walked = F.aggregate(
+            F.arrays_zip(gaps.alias("gap"), hits.alias("hit")),
+            F.struct(F.lit(0).alias("end"), none.alias("places")),
+            lambda seen, x: let(seen["end"] + x["gap"], lambda at: F.struct((at + F.char_length(x["hit"])).alias("end"), F.concat(seen["places"], F.array(F.struct(at.alias("at"), x["hit"].alias("hit")))).alias("places"))),
+        )
+        return F.when(F.size(hits) > 0, walked["places"]).otherwise(none)
+
+    return let(F.regexp_extract_all(text, F.lit(FOLD + pattern), F.lit(0)), places)
 
 
 def number(text: Column, pattern: str, group: int = 1) -> Column:
@@ -47,21 +56,18 @@ def number(text: Column, pattern: str, group: int = 1) -> Column:
 def nearest_percentage(text: Column, words: list[str]) -> Column:
     """The percentage (0 to 100) that a response phrase ties to a keyword, starting nearest to it; of equals the first by
     keyword, place of the keyword, phrase and place of the phrase. Phrases are sought in a window round each keyword."""
-    low = F.lower(text)
-
-    def near(rank: int, word: str) -> Column:
+    def near(low: Column, rank: int, word: str) -> Column:
         def round_one(place: Column) -> Column:
-            start = F.greatest(F.lit(0), place["at"] - lexicon.NEAR)
-            window = F.substring(low, start + 1, place["at"] + lexicon.NEAR - start)
-
-            def of_phrase(k: int, phrase: str) -> Column:
+            def of_phrase(window: Column, start: Column, k: int, phrase: str) -> Column:
                 return F.transform(occurrences(window, phrase), lambda m: F.struct(F.abs(start + m["at"] - place["at"]).alias("far"), F.lit(rank).alias("rank"), place["at"].alias("from"), F.lit(k).alias("phrase"), m["at"].alias("at"), number(m["hit"], phrase).alias("value")))
 
-            return F.flatten(F.array(*[of_phrase(k, p.replace("{word}", word)) for k, p in enumerate(lexicon.RESPONSE)]))
+            phrases = [p.replace("{word}", word) for p in lexicon.RESPONSE]
+            within = lambda start: let(F.substring(low, start + 1, place["at"] + lexicon.NEAR - start), lambda window: F.flatten(F.array(*[of_phrase(window, start, k, p) for k, p in enumerate(phrases)])))
+            return let(F.greatest(F.lit(0), place["at"] - lexicon.NEAR), within)
 
         return F.flatten(F.transform(occurrences(low, word), round_one))
 
-    found = F.flatten(F.array(*[near(k, w) for k, w in enumerate(words)]))
+    found = let(F.lower(text), lambda low: F.flatten(F.array(*[near(low, k, w) for k, w in enumerate(words)])))
     return F.array_min(F.filter(found, lambda x: x["value"].between(0, 100)))["value"]
 
 
@@ -75,7 +81,7 @@ def sample_size(text: Column) -> Column:
     """The upper median of all plausible counts of patients (5 to 100,000)."""
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(FOLD + p), F.lit(1)) for p in lexicon.SAMPLE_SIZE]))
     numbers = F.array_sort(F.filter(F.transform(found, lambda s: s.try_cast("long")), lambda n: n.between(5, 100_000)))
-    return F.when(F.size(numbers) > 0, F.element_at(numbers, F.floor(F.size(numbers) / 2).cast("int") + 1))
+    return let(numbers, lambda n: F.get(n, F.floor(F.size(n) / 2).cast("int")))
 
 
 def size_from_interval(text: Column, percent: Column) -> Column:
@@ -93,20 +99,19 @@ def size_from_interval(text: Column, percent: Column) -> Column:
 
 def hazard_ratio(text: Column, words: list[str]) -> Column:
     """A struct (ratio, low, high) near the first match of a keyword, if 0 < ratio < 10 and 0 < low < high < 10."""
-    low = F.lower(text)
-
-    def of_word(word: str) -> list[Column]:
-        first = F.get(occurrences(low, word), F.lit(0))
-        start = F.greatest(F.lit(0), first["at"] - lexicon.BEFORE)
-        window = F.substring(low, start + 1, first["at"] + F.char_length(first["hit"]) + lexicon.AFTER - start)
+    def of_form(window: Column, form: str) -> Column:
+        fits = lambda t: F.when((t["ratio"] > 0) & (t["ratio"] < 10) & (t["low"] > 0) & (t["low"] < t["high"]) & (t["high"] < 10), t)
+        return let(F.struct(*[number(window, form, g).alias(n) for g, n in enumerate(("ratio", "low", "high"), 1)]), fits)
 
-        def of_form(form: str) -> Column:
-            x, a, b = (number(window, form, g) for g in (1, 2, 3))
-            return F.when((x > 0) & (x < 10) & (a > 0) & (a < b) & (b < 10), F.struct(x.alias("ratio"), a.alias("low"), b.alias("high")))
+    def of_word(low: Column, word: str) -> Column:
+        def near(first: Column) -> Column:
+            start = F.greatest(F.lit(0), first["at"] - lexicon.BEFORE)
+            window = F.substring(low, start + 1, first["at"] + F.char_length(first["hit"]) + lexicon.AFTER - start)
+            return F.when(first.isNotNull(), let(window, lambda w: F.coalesce(*[of_form(w, f) for f in lexicon.RATIO])))
 
-        return [of_form(f) for f in lexicon.RATIO]
+        return let(F.get(occurrences(low, word), F.lit(0)), near)
 
-    return F.coalesce(*[c for w in words for c in of_word(w)])
+    return let(F.lower(text), lambda low: F.coalesce(*[of_word(low, w) for w in words]))
 
 
 def _steps(rows: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
