@@ -149,11 +149,11 @@ def size_for_spacing(size: dict[str, int], spacing: dict[str, float], target: di
 
 def even_places(positions: list[float], step: float) -> list[float]:
     """Fractional slice numbers at even steps from the first of the rising positions to the last."""
-    low, high = min(positions), max(positions)
-    count, out = max(1, -int(-(high - low) // step)), []
+    count, out, i = max(1, -int(-(positions[-1] - positions[0]) // step)), [], 0
     for k in range(count):
-        at = low + k * step
-        i = max((j for j, p in enumerate(positions[:-1]) if p <= at), default=0) if len(positions) > 1 else 0
+        at = positions[0] + k * step
+        while i < len(positions) - 2 and positions[i + 1] <= at:
+            i += 1
         gap = positions[i + 1] - positions[i] if len(positions) > 1 else 0.0
         out.append(i + ((at - positions[i]) / gap if abs(gap) > 1e-6 else 0.0))
     return out

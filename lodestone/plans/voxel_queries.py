@@ -11,7 +11,6 @@ from .tables import table
 
 SIDE = 8
 SPACING = {"x": 0.7, "y": 0.7, "z": 1.5}
-POSITIONS = [0.0, 1.0, 1.5, 3.0, 5.0, 5.5, 7.5, 8.0]
 
 
 def volume(spark, sf_dir):
@@ -77,9 +76,10 @@ def resize(spark, sf_dir):
 
 
 def even_slices(spark, sf_dir):
-    """The first eight slices, at uneven positions, at even steps."""
-    places = V.even_places(POSITIONS, 0.75)
-    return rounded(V.resampled(volume(spark, sf_dir).where("z < 8"), "z", places, 8).select("x", "y", "z", "v"), 8)
+    """All slices, which stand at uneven positions, at even steps."""
+    n = depth(spark, sf_dir)["z"]
+    places = V.even_places([k + k % 3 * 0.25 for k in range(n)], 0.75)
+    return rounded(V.resampled(volume(spark, sf_dir), "z", places, n).select("x", "y", "z", "v"), 8)
 
 
 def ball_dilation(spark, sf_dir):
@@ -229,8 +229,8 @@ ORACLE_SQL = {
         SELECT class, {_r('dice', 'dice')} FROM d UNION ALL SELECT NULL, {_r('avg(dice)', 'dice')} FROM d""",
     "volume_resize": f"""WITH {_VOL}, {_axis_taps('tx', 8, 5)}, {_axis_taps('ty', 8, 12)}
         SELECT CAST(tx.out AS INTEGER) AS x, CAST(ty.out AS INTEGER) AS y, z, {_r('sum(tx.w * ty.w * v)', 'v')} FROM vol JOIN tx ON tx.cell = x JOIN ty ON ty.cell = y GROUP BY 1, 2, 3""",
-    "volume_even_slices": f"""WITH {_VOL}, p AS (SELECT unnest(range(8)) AS i, unnest({POSITIONS}) AS p), o AS (SELECT range AS k, range * 0.75e0 AS pos FROM range(CAST(ceil(8 / 0.75e0) AS INTEGER))),
-        l AS (SELECT k, pos, least(max(i), 6) AS i FROM o JOIN p ON p <= pos GROUP BY k, pos), s AS (SELECT k, i, (pos - a.p) / (b.p - a.p) AS t FROM l JOIN p a USING (i) JOIN p b ON b.i = l.i + 1)
+    "volume_even_slices": f"""WITH {_VOL}, n AS (SELECT max(z) + 1 AS n FROM vol), p AS (SELECT i, i + i % 3 * 0.25e0 AS p FROM (SELECT unnest(range(n)) AS i FROM n)), o AS (SELECT k, k * 0.75e0 AS pos FROM (SELECT unnest(range(CAST(ceil((SELECT max(p) FROM p) / 0.75e0) AS BIGINT))) AS k)),
+        l AS (SELECT k, pos, least(max(i), (SELECT n - 2 FROM n)) AS i FROM o JOIN p ON p <= pos GROUP BY k, pos), s AS (SELECT k, i, (pos - a.p) / (b.p - a.p) AS t FROM l JOIN p a USING (i) JOIN p b ON b.i = l.i + 1)
         SELECT u.x AS x, u.y AS y, CAST(k AS INTEGER) AS z, {_r('u.v * (1 - t) + w.v * t', 'v')} FROM s JOIN vol u ON u.z = i JOIN vol w ON w.z = i + 1 AND w.x = u.x AND w.y = u.y""",
     "ball_dilation": f"WITH {_VOL}, m AS (SELECT x, y, z FROM vol WHERE v > 0.3), d AS (SELECT DISTINCT * FROM ({_MOVED.format('m')})) SELECT z, count(*) AS n FROM d GROUP BY z",
     "ball_erosion": f"WITH {_VOL}, m AS (SELECT x, y, z FROM vol WHERE v > -0.15) SELECT x, y, z FROM ({_MOVED.format('m')}) GROUP BY x, y, z HAVING count(*) = 7",
