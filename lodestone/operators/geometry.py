@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import rooted
 from .images import square_cases
 from .meshes import corners
 
@@ -30,6 +31,17 @@ def contour_segments(cells: DataFrame, level: float) -> DataFrame:
     return square_cases(cells, level).where(~F.col("case").isin(0, 15)).select(F.explode(by_case).alias("s")).select("s.*")
 
 
+def contour_loops(segments: DataFrame) -> DataFrame:
+    """Segments with the loop they belong to (`loop`, its least point) and whether it is closed: segments that share an
+    end are linked, and components of links are loops. Coordinates are halves from 0 to a million."""
+    point = lambda x, y: (F.col(x) * 2).cast("long") * (1 << 21) + (F.col(y) * 2).cast("long")
+    rows = segments.select("*", point("x0", "y0").alias("a"), point("x1", "y1").alias("b"))
+    ends = rows.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    named = ends.join(rooted(rows.select("a", "b")), "id").select("id", F.col("root").alias("loop"), (F.col("n") == 1).alias("loose"))
+    open_ = named.groupBy("loop").agg((F.count_if("loose") == 0).alias("closed"))
+    return rows.join(named.select(F.col("id").alias("a"), "loop"), "a").join(open_, "loop").drop("a", "b")
+
+
 def sides(points: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Sides x0, y0, x1, y1 of closed polygons."""
     w = Window.partitionBy(*by).orderBy(*order)

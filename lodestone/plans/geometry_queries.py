@@ -23,6 +23,11 @@ def contours(spark, sf_dir):
     return rounded(s.groupBy(F.floor(F.least("y0", "y1")).alias("y")).agg(F.count("*").alias("n"), F.sum(length).alias("length"), F.sum(F.col("x0") + F.col("x1")).alias("places")), 6)
 
 
+def loops(spark, sf_dir):
+    found = G.contour_loops(G.contour_segments(image(spark, sf_dir), 0.25)).groupBy("loop").agg(F.count("*").alias("segments"), F.first("closed").alias("closed"))
+    return found.groupBy("segments", "closed").agg(F.count("*").alias("loops"))
+
+
 def _polygons(spark, sf_dir):
     """A star of eight corners for each supplier."""
     k = F.col("s_suppkey")
@@ -104,7 +109,7 @@ def planar_diameters(spark, sf_dir):
 
 
 QUERIES = {
-    "planar_diameters": planar_diameters, "contour_segments": contours, "polygon_areas": polygon_areas, "infill_lines": infill, "polygon_cells": polygon_cells, "vertex_normals": vertex_normals, "mesh_taubin": taubin, "voxel_boxes": boxed,
+    "planar_diameters": planar_diameters, "contour_segments": contours, "contour_loops": loops, "polygon_areas": polygon_areas, "infill_lines": infill, "polygon_cells": polygon_cells, "vertex_normals": vertex_normals, "mesh_taubin": taubin, "voxel_boxes": boxed,
     "sweep_diameters": diameters, "hessian_eigenvalues": hessian, "two_stage": staged, "grown_statistics": grown, "share_histogram": binned, "hot_region": hot_region,
 }
 
@@ -133,13 +138,22 @@ def _mixed(a: str, b: str) -> str:
     return f"m{a}{b} AS (SELECT x, y, z, (qpp.v - qpm.v - qmp.v + qmm.v) / 4 AS d{a}{b} FROM vol {joins})"
 
 
+def _segments(level: float) -> str:
+    """Squares q, the middles of their sides, which sides each segment joins, and segments g (p to r)."""
+    return f"""q AS (SELECT a.x AS x, a.y AS y, a.v >= {level} AS a, b.v >= {level} AS b, c.v >= {level} AS c, d.v >= {level} AS d FROM img a JOIN img b ON b.x = a.x + 1 AND b.y = a.y JOIN img c ON c.x = a.x + 1 AND c.y = a.y + 1 JOIN img d ON d.x = a.x AND d.y = a.y + 1),
+        m AS (SELECT *, [[x + 0.5e0, y], [x + 1.0e0, y + 0.5e0], [x + 0.5e0, y + 1.0e0], [x + 0.0e0, y + 0.5e0]] AS e, list_filter([CASE WHEN a <> b THEN 1 END, CASE WHEN b <> c THEN 2 END, CASE WHEN c <> d THEN 3 END, CASE WHEN d <> a THEN 4 END], lambda k: k IS NOT NULL) AS k FROM q),
+        n AS (SELECT e, unnest(CASE len(k) WHEN 2 THEN [k] WHEN 4 THEN CASE WHEN a THEN [[1, 4], [2, 3]] ELSE [[1, 2], [3, 4]] END ELSE [] END) AS s FROM m), g AS (SELECT e[s[1]] AS p, e[s[2]] AS r FROM n)"""
+
+
 _EIGHT = "(VALUES (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)) AS o(dx, dy)"
 
 ORACLE_SQL = {
-    "contour_segments": f"""WITH {_IMG}, q AS (SELECT a.x AS x, a.y AS y, a.v >= 0.1 AS a, b.v >= 0.1 AS b, c.v >= 0.1 AS c, d.v >= 0.1 AS d FROM img a JOIN img b ON b.x = a.x + 1 AND b.y = a.y JOIN img c ON c.x = a.x + 1 AND c.y = a.y + 1 JOIN img d ON d.x = a.x AND d.y = a.y + 1),
-        m AS (SELECT *, [[x + 0.5e0, y], [x + 1.0e0, y + 0.5e0], [x + 0.5e0, y + 1.0e0], [x + 0.0e0, y + 0.5e0]] AS e, list_filter([CASE WHEN a <> b THEN 1 END, CASE WHEN b <> c THEN 2 END, CASE WHEN c <> d THEN 3 END, CASE WHEN d <> a THEN 4 END], lambda k: k IS NOT NULL) AS k FROM q),
-        n AS (SELECT e, unnest(CASE len(k) WHEN 2 THEN [k] WHEN 4 THEN CASE WHEN a THEN [[1, 4], [2, 3]] ELSE [[1, 2], [3, 4]] END ELSE [] END) AS s FROM m), g AS (SELECT e[s[1]] AS p, e[s[2]] AS r FROM n)
+    "contour_segments": f"""WITH {_IMG}, {_segments(0.1)}
         SELECT CAST(floor(least(p[2], r[2])) AS BIGINT) AS y, count(*) AS n, {_r('sum(sqrt(pow(p[1] - r[1], 2) + pow(p[2] - r[2], 2)))', 'length', 6)}, {_r('sum(p[1] + r[1])', 'places', 6)} FROM g GROUP BY 1""",
+    "contour_loops": f"""WITH RECURSIVE {_IMG}, {_segments(0.25)}, e AS (SELECT CAST(p[1] * 2 AS BIGINT) * 2097152 + CAST(p[2] * 2 AS BIGINT) AS a, CAST(r[1] * 2 AS BIGINT) * 2097152 + CAST(r[2] * 2 AS BIGINT) AS b FROM g), w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        c AS (SELECT a AS id, a AS root FROM w UNION SELECT w.b AS id, c.root AS root FROM c JOIN w ON w.a = c.id WHERE c.root < w.b), l AS (SELECT id, min(root) AS root FROM c GROUP BY id), d AS (SELECT a AS id, count(*) AS n FROM w GROUP BY a),
+        o AS (SELECT root, count(*) FILTER (n = 1) = 0 AS closed FROM l JOIN d USING (id) GROUP BY root), s AS (SELECT l.root AS root, count(*) AS segments FROM e JOIN l ON l.id = e.a GROUP BY 1)
+        SELECT segments, closed, count(*) AS loops FROM s JOIN o USING (root) GROUP BY 1, 2""",
     "planar_diameters": f"""WITH p AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS x, p_retailprice / 7 AS y FROM part), d AS (SELECT a.p_brand AS p_brand, b.x - a.x AS dx, b.y - a.y AS dy, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d FROM p a JOIN p b USING (p_brand) QUALIFY row_number() OVER (PARTITION BY a.p_brand ORDER BY d DESC, a.x, a.y) = 1)
         SELECT p_brand, {_r('any_value(d)', 'longest', 6)}, {_r('max((x * -dy + y * dx) / d) - min((x * -dy + y * dx) / d)', 'across', 6)} FROM p JOIN d USING (p_brand) GROUP BY p_brand""",
     "polygon_areas": f"WITH {_POLY} SELECT poly, {_r('sum((x1 - x0) * (y0 + y1)) / -2', 'area', 7)}, {_r('sum(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)))', 'outline', 7)} FROM s GROUP BY poly",
