@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-#: The folders of this process's applications, removed when it ends.
+#: The folders of this process's applications, which go when its JVM ends.
 _FOLDERS: set[str] = set()
 
 
@@ -23,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
         where = "/tmp/lodestone-checkpoints"
     folder = f"{where.rstrip('/')}/lodestone-{sc.applicationId}"
     if folder not in _FOLDERS:
-        if not _FOLDERS:
-            atexit.register(_clear)
+        path, files = _path(sc, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
         _FOLDERS.add(folder)
     return folder
 
@@ -43,16 +43,11 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/table-" in folder and "/lodestone-" in folder:
-                _delete(df.sparkSession.sparkContext, folder)
+                path, files = _path(df.sparkSession.sparkContext, folder)
+                files.delete(path, True)
 
 
-def _delete(sc: SparkContext, folder: str) -> None:
+def _path(sc: SparkContext, folder: str) -> tuple:
+    """A folder and the file system that it is in."""
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _clear() -> None:
-    sc = SparkContext._active_spark_context
-    if sc is not None and sc._jsc is not None:
-        for folder in _FOLDERS:
-            _delete(sc, folder)
+    return path, path.getFileSystem(sc._jsc.hadoopConfiguration())
