@@ -7,7 +7,9 @@ First regions. Five-word shingles of unrelated texts have distance 1 to each oth
 as pivots at random would leave nearly everything in one region. Pivots are therefore found by content: two sets within
 the radius must share one of the first n - ceil(t * n) + 1 shingles of any common order (t the similarity), so all sets
 with such a shingle are in the region of one pivot, the smallest of them by hash, and no link can be missed. The order
-puts frequent shingles last, so that a passage that many texts share opens no region.
+puts frequent shingles last, the most frequent ones at the end, so that a passage that many texts share opens no region.
+Which count as frequent follows from the counts themselves: as many as the order has room for (FREQUENT). A bound that
+grew with the input would leave more and more shared shingles among the first ones.
 
 Sizes are distances too (to the empty set, by the symmetric difference): linked sets have sizes within the factor t.
 A region is therefore cut into classes of size, a factor 1 / t wide each, and a set is given to its own class and the
@@ -45,7 +47,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -56,8 +58,8 @@ REGION_ROWS, REGION_BYTES = 2_000, 24 << 20
 #: Pivots that split a large region between tasks one after the other.
 ROUNDS = 4
 LEAF = 64
-#: At most this many frequent shingles are put last; which are frequent is relative to the input.
-FREQUENT = 2_000_000
+#: At most this many frequent shingles are put last, the most frequent ones.
+FREQUENT = 200_000
 FREQUENT_SHARE = 10_000
 TOGETHER = 3_000_000
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -149,19 +151,20 @@ def _nodes(size: int, percent: int):
 
 
 def _prefixes(size: int, percent: int, frequent):
-    """(shingle, node) of each set's prefix in the common order: frequent shingles last, else by hash."""
+    """(shingle, node) of each set's prefix in the common order: frequent shingles last, by their levels, else by hash.
+    frequent: a broadcast of those shingles in order and of their levels."""
     schema = pa.schema([("s", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, out, last = Shingler(size), common.Sink(schema, 200_000), frequent.value
+        shingler, out, last = Shingler(size), common.Sink(schema, 200_000), frequent.value[0]
         for (text,) in common.rows_of(batches, "text"):
             s = shingler.set_of(text)
             if not len(s):
                 continue
             node, k = node_of(s), len(s) - least_shared(len(s), percent) + 1
             if len(last):
-                often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                s = np.concatenate([s[~often], s[often]])
+                at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                s = s[np.argsort(np.where(last[at] == s, frequent.value[1][at], 0), kind="stable")]
             out.add(k, common.signed(s[:k]), np.full(k, node, np.int64))
             yield from out.full()
         yield from out.rest()
@@ -403,17 +406,31 @@ def _with_texts(base: DataFrame, uses: DataFrame, columns: list[str]) -> DataFra
     return maybe.join(wanted, same).select("node", "text", F.explode("uses").alias("x")).select("node", "text", *[f"x.{c}" for c in columns])
 
 
+def _frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, FREQUENT at most, in order, and their levels from 1: eight to a doubling of the count."""
+    counts = common.materialize(found.where("frequent").groupBy("node").agg(F.sum("n").alias("n")).select("node", F.floor(F.log2("n") * 8).cast("int").alias("level")))
+    least, room = None, FREQUENT
+    for level, n in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        if n > room:
+            break
+        least, room = level, room - n
+    rows = counts.where(F.col("level") >= F.lit(least)).toArrow()
+    common.release(counts)
+    shingles, levels = rows["node"].to_numpy().view(np.uint64), np.minimum(rows["level"].to_numpy().astype(np.int64) - (least or 0) + 1, 255).astype(np.uint8)
+    order = np.argsort(shingles)
+    return shingles[order], levels[order]
+
+
 def links(base: DataFrame, size: int, percent: int, found: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links. found: what _nodes() gave."""
     sc = base.sparkSession.sparkContext
     texts, nodes = base.select("text"), found.where("not frequent and n > 0")
-    rows, shingles = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    least = max(rows / FREQUENT_SHARE, shingles / FREQUENT, 2)
-    frequent = found.where("frequent").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("node").toPandas()["node"].to_numpy(np.int64)
-    last = sc.broadcast(np.sort(frequent.view(np.uint64)))
+    last = sc.broadcast(_frequent(found))
     prefixes = texts.mapInArrow(_prefixes(size, percent, last), "s long, node long")
-    shared = prefixes.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("s", "pivot")
-    regions = common.materialize(prefixes.join(shared, "s").select("node", "pivot").distinct())
+    # Windows, as these rows are the most that is shuffled: a sum by key and a join would each send them.
+    alike = Window.partitionBy("s")
+    shared = prefixes.select("node", F.min("node").over(alike).alias("pivot"), F.max("node").over(alike).alias("most")).where("pivot < most")
+    regions = common.materialize(shared.select("node", "pivot").distinct())
     first = common.materialize(nodes.groupBy("node").agg(F.min(F.struct("id", "len", "crc")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "n", "sketch", "x.*"))
     classes = common.materialize(_classes(regions.join(first.select("node", "n"), "node"), percent))
     common.release(regions)

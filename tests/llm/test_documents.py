@@ -126,6 +126,23 @@ def test_jaccard_join_in_blocks(monkeypatch, docs, rows):
     assert got == sorted(jaccard_join.brute_force(rows))
 
 
+def test_jaccard_join_passages_open_no_regions(monkeypatch, spark):
+    """What many texts share stays out of the first shingles also where the order has little room."""
+    rng, seen, classes = random.Random(5), [], jaccard_join._classes
+    passages = [" ".join(f"p{rng.random()}" for _ in range(20)) for _ in range(3)]
+    rows = [(k, passages[k % 3] + " " + " ".join(f"w{rng.random()}" for _ in range(40))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 100)
+    monkeypatch.setattr(jaccard_join, "_classes", lambda members, percent: (seen.append(members.count()), classes(members, percent))[1])
+    got = sorted((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect())
+    assert got == sorted(jaccard_join.brute_force(rows))
+    assert seen == [0]
+    # Without any room all that is shared is compared, with the same results.
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 0)
+    assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()) == got
+    assert seen[1] > 0
+
+
 def test_sketches_rule_nothing_out(rows):
     s = jaccard_join.Shingler(5)
     sets = [x for x in (s.set_of(t) for _, t in rows) if len(x)]
