@@ -61,10 +61,10 @@ def rooted(links: DataFrame) -> DataFrame:
     local = materialize(ranges.mapInArrow(_contracted, "id long, root long"))
     release(some)
     first = local.groupBy("id").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    between = materialize(local.join(first.where("least < most").select("id", "least"), "id").where("root > least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
+    between = materialize(local.join(first.where("least < most").select("id", "least").hint("merge"), "id").where("root > least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
     far = rooted(between) if between.count() <= ONE_TASK else stars(between).select(F.col("node").alias("id"), "root")
     one = local.groupBy("id").agg(F.min("root").alias("near"))
-    return one.join(far.select(F.col("id").alias("near"), F.col("root").alias("far")), "near", "left").select("id", F.coalesce("far", "near").alias("root"))
+    return one.join(far.select(F.col("id").alias("near"), F.col("root").alias("far")).hint("merge"), "near", "left").select("id", F.coalesce("far", "near").alias("root"))
 
 
 def _mark(links: DataFrame) -> tuple:

@@ -19,7 +19,7 @@ OFFSETS = {
 def label_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes: id; edges: a, b (each once, either way). Gives id and label, the smallest id of the component."""
     found = rooted(edges).select("id", F.col("root").alias("label"))
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    return nodes.select("id").join(found.hint("merge"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 def grid_edges(cells: DataFrame, axes: list[str], connectivity: int) -> DataFrame:
@@ -27,13 +27,14 @@ def grid_edges(cells: DataFrame, axes: list[str], connectivity: int) -> DataFram
     d = [f"d{a}" for a in axes]
     shifts = F.explode(F.array(*[F.struct(*[F.lit(o).alias(n) for o, n in zip(offset, d, strict=True)]) for offset in OFFSETS[connectivity]])).alias("_d")
     moved = cells.select(F.col("id").alias("a"), *axes, shifts).select("a", *[(F.col(a) + F.col(f"_d.{n}")).alias(a) for a, n in zip(axes, d, strict=True)])
-    return moved.join(cells.select(*axes, F.col("id").alias("b")), axes).select("a", "b")
+    # Spark takes cells for as small as their file, where whole runs of them are a few bytes, and would broadcast them.
+    return moved.hint("merge").join(cells.select(*axes, F.col("id").alias("b")).hint("merge"), axes).select("a", "b")
 
 
 def components(cells: DataFrame, axes: list[str], index: Column, connectivity: int) -> DataFrame:
     """Cells of a mask with label (smallest index of the component); index is the place in scan order."""
     rows = saved(cells.select(*axes, index.cast("long").alias("id")))
-    return rows.join(label_graph(rows.select("id"), grid_edges(rows, axes, connectivity)), "id")
+    return rows.join(label_graph(rows.select("id"), grid_edges(rows, axes, connectivity)).hint("merge"), "id")
 
 
 def numbered(labelled: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Queries over whole tables, held against brute force."""
 
 import bisect
+import math
 from collections import defaultdict
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodestone.operators import matching
+from lodestone.operators import connected, matching, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +90,15 @@ def test_one_key_over_many_ranges(spark):
             continue
         lo, hi = max((x for x in knots if x[0] <= r["t"]), default=knots[0]), min((x for x in knots if x[0] >= r["t"]), default=knots[-1])
         assert r["y"] == pytest.approx(lo[1] + ((r["t"] - lo[0]) / (hi[0] - lo[0]) if hi[0] > lo[0] else 0) * (hi[1] - lo[1]))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_are_not_broadcast(spark):
+    """What Spark takes for small, as its file is, has many rows when it is read or exploded."""
+    cells = spark.range(400).select("id", (F.col("id") % 20).cast("int").alias("x"), F.floor(F.col("id") / 20).cast("int").alias("y"))
+    edges = connected.grid_edges(cells, ["x", "y"], 4)
+    assert edges.count() == 2 * 19 * 20
+    assert "Broadcast" not in plan(edges)
