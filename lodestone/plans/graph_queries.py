@@ -90,8 +90,7 @@ def within_distance(spark, sf_dir):
 
 
 def nearest_three(spark, sf_dir):
-    pairs = M.within_distance(_points(spark, sf_dir), 4.0).withColumn("d", F.round("d", 9))
-    return rounded(M.nearest_k(pairs, 3), 6)
+    return rounded(M.nearest_within(_points(spark, sf_dir), 4.0, 3, 9), 6)
 
 
 def gap_groups(spark, sf_dir):

@@ -106,3 +106,24 @@ def test_neighbours_are_not_broadcast(spark):
 
 def test_distance_join_is_not_broadcast(spark):
     assert "Broadcast" not in plan(entry.queries()["distance_join"](spark, SF))
+
+
+def test_nearest_three_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(matching, "within_distance", None)
+    points = [(i, float(size), price / 20, float(i % 40)) for i, size, price in read("part", "p_partkey", "p_size", "p_retailprice")]
+    want = []
+    for i, *p in points:
+        near = sorted((round(d, 9), j) for j, *q in points if j != i and (d := math.dist(p, q)) <= 4)
+        want += [(i, j, pytest.approx(d, abs=2e-6), r) for r, (d, j) in enumerate(near[:3], 1)]
+    assert sorted((tuple(r) for r in entry.queries()["nearest_three"](spark, SF).collect()), key=lambda r: (r[0], r[3])) == want
+
+
+def test_nearest_within_at_one_place(spark):
+    """Many points at one place, ties, a point alone, one at the radius and one without a place."""
+    points = [(k, 1.0, 1.0, 1.0) for k in range(50, 0, -1)] + [(100 + k, 2.0 + k % 2, 1.0, 1.0) for k in range(4)] + [(200, 90.0, 0.0, 0.0), (201, -3.0, 1.0, 1.0), (202, 40.0, 0.0, 0.0), (203, 44.0, 0.0, 0.0), (204, None, 0.0, 0.0)]
+    want = []
+    for i, *p in sorted(points):
+        near = sorted((round(d, 9), j) for j, *q in points if j != i and None not in (*p, *q) and (d := math.dist(p, q)) <= 4)
+        want += [(i, j, d, r) for r, (d, j) in enumerate(near[:3], 1)]
+    got = matching.nearest_within(spark.createDataFrame(points, "id long, x double, y double, z double"), 4.0, 3, 9)
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: (r[0], r[3])) == want
