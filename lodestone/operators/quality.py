@@ -28,7 +28,9 @@ def squared_distances(points: DataFrame, mask: DataFrame, frame: DataFrame) -> D
     cells = frame.select("x", "y").join(mask.select("x", "y", F.lit(True).alias("on")), ["x", "y"], "left")
     w = Window.partitionBy("x").orderBy("y")
     before = F.last(F.when(F.col("on"), F.col("y")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("on"), F.col("y")), True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Both ways as running windows: Spark reads a frame up to the last row anew for each row.
+    down = Window.partitionBy("x").orderBy(F.desc("y"))
+    after = F.last(F.when(F.col("on"), F.col("y")), True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     g = F.least(F.col("y") - before, after - F.col("y"))
     column = cells.withColumn("g", g).where("g is not null").select(F.col("x").alias("x2"), "y", "g")
     d = F.pow(F.col("x") - F.col("x2"), F.lit(2.0)) + F.pow("g", F.lit(2.0))

@@ -127,3 +127,10 @@ def test_nearest_within_at_one_place(spark):
         want += [(i, j, d, r) for r, (d, j) in enumerate(near[:3], 1)]
     got = matching.nearest_within(spark.createDataFrame(points, "id long, x double, y double, z double"), 4.0, 3, 9)
     assert sorted((tuple(r) for r in got.collect()), key=lambda r: (r[0], r[3])) == want
+
+
+def test_surface_distances_read_each_column_once(spark):
+    cells = spark.range(30).select((F.col("id") % 3).alias("x"), F.floor(F.col("id") / 3).alias("y"))
+    found = quality.squared_distances(cells, cells.where("x = 1 and y in (2, 7)"), cells)
+    assert {(r["x"], r["y"]): r["d2"] for r in found.collect()} == {(x, y): min((x - 1) ** 2 + (y - b) ** 2 for b in (2, 7)) for x in range(3) for y in range(10)}
+    assert "unboundedfollowing" not in plan(found)
